@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding
+from . import bpe, decontaminate, sharding
 from .common import table
 
 
@@ -14,11 +14,23 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), shards=24)
 
 
+def vocabulary() -> str:
+    """Place of the public tokenizer's file on the machines of the cluster; never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents"), vocabulary())
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=10))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
 }
