@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, sharding
+from . import bpe, decontaminate, linededup, sharding
 from .common import table
 
 
@@ -25,16 +25,30 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary())
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.digests(linededup.dedup(table(spark, sf, "documents"), min_docs=10, min_chars=1))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=10))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10)
+SELECT d.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.k) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+FROM d JOIN l USING (rid) LEFT JOIN f ON l.k = f.k GROUP BY d.rid, d.doc_id""",
     "op8_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
