@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, linededup, sharding
+from . import bpe, decontaminate, linededup, sharding, substring
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.digests(linededup.dedup(table(spark, sf, "documents"), min_docs=10, min_chars=1))
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.digests(substring.dedup(table(spark, sf, "documents"), width=35))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=10))
 
@@ -36,10 +40,21 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT rid, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT h FROM x GROUP BY h HAVING count(*) >= 2),
+hit AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM x JOIN r USING (h)),
+t AS (SELECT rid, k, w[k] AS word FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+g AS (SELECT t.rid, count(hit.k) AS n_removed, string_agg(word, ' ' ORDER BY t.k) FILTER (WHERE hit.k IS NULL) AS kept
+      FROM t LEFT JOIN hit ON t.rid = hit.rid AND t.k = hit.k GROUP BY t.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)""",
     "op3_line_dedup": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT rid, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
