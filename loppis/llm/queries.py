@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, linededup, sharding, substring
+from . import bpe, decontaminate, jaccard, linededup, quality, sharding, substring
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=10))
 
 
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.report(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_jaccard_join": r"""
