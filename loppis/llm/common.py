@@ -48,12 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, doc_id, text): documents dealt to n buckets by a hash of id and text, copies under other ids apart."""
+def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
+    """(bucket, doc_id, text, carried): documents dealt to n buckets by a hash of id and text, copies under other ids
+    apart."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("bucket"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 

@@ -11,12 +11,14 @@ hits nothing. Repeated rows each get a result. Further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,15 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _BUILT: dict[tuple, Automaton] = {}
 
 
+def _built(key: tuple, items: list[tuple[object, bytes]], width: int) -> Automaton:
+    """The worker's automaton for a part of the benchmark; only a few are held at once."""
+    if key not in _BUILT:
+        if len(_BUILT) >= 2:
+            _BUILT.clear()
+        _BUILT[key] = Automaton(items, width)
+    return _BUILT[key]
+
+
 def _scan(docs: DataFrame, items: list[tuple[object, bytes]], width: int) -> DataFrame:
     """(doc_id, n_words, starts, ends, items) of each row, against one automaton built once a worker."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -95,10 +106,7 @@ def _scan(docs: DataFrame, items: list[tuple[object, bytes]], width: int) -> Dat
     full = f"doc_id {schema[0].dataType.simpleString()}, n_words long, starts array<int>, ends array<int>, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Automaton(sent.value, width)
-        found = _BUILT[key]
+        found = _built(key, sent.value, width)
         for b in batches:
             out: list[tuple] = []
             for text in utf8(b.column(1)):
@@ -115,6 +123,42 @@ def _scan(docs: DataFrame, items: list[tuple[object, bytes]], width: int) -> Dat
     return docs.mapInArrow(run, full)
 
 
+def _parts(benchmark: DataFrame, max_bytes: int, item_col: str, item_text_col: str) -> tuple[int, Callable[[int], list[tuple[object, bytes]]]]:
+    """How many parts of at most about max_bytes the benchmark makes, and the items of each."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body"))
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    parts = max(1, -(-size // max_bytes))
+
+    def part(k: int) -> list[tuple[object, bytes]]:
+        chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("body"), F.lit(parts)) == k)
+        return [(r.item, r.body.encode()) for r in chosen.collect()]
+
+    return parts, part
+
+
+def _has_window(sent: Broadcast, key: tuple, width: int):
+    """A column function: whether a text holds a window of the part of the benchmark that was sent."""
+
+    def hit(text: pd.Series) -> pd.Series:
+        found = _built(key, sent.value, width)
+        return pd.Series([bool(found.scan(normal_words(t))[0]) for t in utf8(pa.array(text, pa.string(), from_pandas=True))], dtype=bool)
+
+    return F.pandas_udf(hit, "boolean")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without a window of the benchmark, with their columns."""
+    parts, part = _parts(benchmark, max_bytes, item_col, item_text_col)
+    out = docs
+    for k in range(parts):
+        items = part(k)
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        key = (xxhash.xxh3_128_hexdigest(repr(items).encode()), width)
+
+        out = out.filter(~_has_window(sent, key, width)(F.col(text_col)))
+    return out
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, starts and ends of the hit word intervals, items found.
 
@@ -122,15 +166,9 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int
     text into as many parts as needed, each within the bound; the documents are scanned against each part and the
     hits merged by row.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body"))
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = max(1, -(-size // max_bytes))
+    parts, part = _parts(benchmark, max_bytes, item_col, item_text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def part(k: int) -> list[tuple[object, bytes]]:
-        chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("body"), F.lit(parts)) == k)
-        return [(r.item, r.body.encode()) for r in chosen.collect()]  # at most about max_bytes
-
     if parts == 1:
         return _scan(rows, part(0), width)
     # rows are told apart by id, text and how often the pair has come before; equal rows have equal hits
@@ -176,4 +214,4 @@ def spans_of(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, int
     return [(at[a][0], at[b - 1][1]) for a, b in intervals]
 
 
-__all__ = ["Automaton", "covered", "find", "normal_words", "report", "spans_of", "word_offsets"]
+__all__ = ["Automaton", "clean", "covered", "find", "normal_words", "report", "spans_of", "word_offsets"]

@@ -259,7 +259,8 @@ def frequent(local: DataFrame, state: DataFrame, min_docs: int = 10) -> DataFram
 
 def drop_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: texts without the lines whose keys were found."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    same = [c for c in ("doc_id", "carried") if c in docs.columns]
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in same]
 
     def run(t: pa.Table, found: pa.Table) -> pa.Table:
         gone = {d[i : i + 16] for d in found.column("keys").to_pylist() for i in range(0, len(d), 16)}
@@ -278,9 +279,9 @@ def drop_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(rest))
             kept.append(b"\n".join(rest))
-        return pa.table({"doc_id": t.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({c: t.column(c) for c in same} | {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return docs.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(run, f"doc_id {id_type}, n_lines long, n_dropped long, kept string")
+    return docs.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(run, ", ".join([*kinds, "n_lines long", "n_dropped long", "kept string"]))
 
 
 def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n: int | None = None, id_col: str = "doc_id", text_col: str = "text", state: DataFrame | None = None) -> DataFrame:
@@ -294,5 +295,16 @@ def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n: int | None
     return drop_lines(dealt, frequent(local, build(local) if state is None else state, min_docs))
 
 
+def cleaned(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the frequent lines gone from their texts, other columns unchanged."""
+    n = groups(docs.sparkSession, n)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    dealt = keyed(docs, n, id_col, text_col, rest)
+    local = local_counts(dealt.drop("carried"), n, min_chars)
+    done = drop_lines(dealt, frequent(local, build(local), min_docs))
+    place = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("kept").alias(text_col)}
+    return done.select(*[place[c] if c in place else F.col(f"carried.{c}").alias(c) for c in docs.columns])
+
+
 def digests(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
