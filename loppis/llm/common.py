@@ -123,6 +123,13 @@ def unpack32(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def inside(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among the ordered ones; costs a binary search a value, not a pass over the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def split_sorted(shards: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by shard (stable) and the bounds of each shard's run."""
     order = np.argsort(shards, kind="stable")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, groups, keyed, pack32, rolling, split_sorted, unpack32, utf8
+from .common import WordHash, groups, inside, keyed, pack32, rolling, split_sorted, unpack32, utf8
 
 U32 = np.uint64(0xFFFFFFFF)
 
@@ -86,7 +86,8 @@ def anchors(sent: DataFrame) -> DataFrame:
         live = np.union1d(every[many], np.concatenate([r[a] for r, a in zip(rolled, again, strict=True)]))
         buckets, found = [], []
         for b, x in zip(t.column("bucket").to_pylist(), t.column("blocks").to_pylist(), strict=True):
-            own = np.intersect1d(unpack32(x), live, assume_unique=True)
+            own = unpack32(x)
+            own = own[inside(own, live)]
             if len(own):
                 buckets.append(b)
                 found.append(pack32(own))
@@ -103,7 +104,7 @@ def _near_anchors(w: np.ndarray, live: np.ndarray, width: int, block: int, n: in
         return near
     own = rolling(w, block)[::block]
     tag = (_shard_of(own, n).astype(np.uint64) << np.uint64(32)) | (own & U32)
-    for at in (np.flatnonzero(np.isin(tag, live)) * block).tolist():
+    for at in (np.flatnonzero(inside(tag, live)) * block).tolist():
         near[max(0, at + block - width) : at + 1] = True
     return near
 
@@ -159,7 +160,7 @@ def repeats(sent: DataFrame) -> DataFrame:
         shared = every[many]
         buckets, found = [], []
         for b, h, a in zip(t.column("bucket").to_pylist(), hashes, again, strict=True):
-            own = h[a | np.isin(h, shared)]
+            own = h[a | inside(h, shared)]
             if len(own):
                 buckets.append(b)
                 found.append(own.tobytes())
