@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, linededup, quality, sharding, substring
+from . import bpe, decontaminate, jaccard, linededup, quality, secrets, sharding, substring
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), shards=24)
 
 
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf, "documents"), fdr=0.01))
+
+
 def vocabulary() -> str:
     """Place of the public tokenizer's file on the machines of the cluster; never copied into the repository."""
     import public_tokenizers
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
