@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, linededup, quality, secrets, sharding, substring
+from . import bpe, decontaminate, htmltext, jaccard, linededup, quality, secrets, sharding, substring
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"), size=5, percent=80)
 
 
+def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=10))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
