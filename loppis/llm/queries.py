@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, jaccard, linededup, quality, secrets, sharding, substring
+from . import bpe, decontaminate, htmltext, jaccard, linededup, pii, quality, secrets, sharding, substring
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.digests(linededup.dedup(table(spark, sf, "documents"), min_docs=10, min_chars=1))
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan(table(spark, sf, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring.digests(substring.dedup(table(spark, sf, "documents"), width=35))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_html_extraction": op7_html_extraction,
