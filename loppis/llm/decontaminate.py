@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -139,11 +138,11 @@ def _parts(benchmark: DataFrame, max_bytes: int, item_col: str, item_text_col: s
 def _has_window(sent: Broadcast, key: tuple, width: int):
     """A column function: whether a text holds a window of the part of the benchmark that was sent."""
 
-    def hit(text: pd.Series) -> pd.Series:
+    def hit(text: pa.Array) -> pa.Array:
         found = _built(key, sent.value, width)
-        return pd.Series([bool(found.scan(normal_words(t))[0]) for t in utf8(pa.array(text, pa.string(), from_pandas=True))], dtype=bool)
+        return pa.array([bool(found.scan(normal_words(t))[0]) for t in utf8(text)], pa.bool_())
 
-    return F.pandas_udf(hit, "boolean")
+    return F.arrow_udf(hit, "boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

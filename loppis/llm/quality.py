@@ -75,18 +75,24 @@ def counts(text: bytes, hashed: WordHash) -> tuple[int, ...]:
 STRUCT = ", ".join(f"{c}: bigint" for c in COUNTS)
 
 
-def _counted(text: pd.Series) -> pd.DataFrame:
+#: Distinct words whose hashes a task remembers.
+REMEMBER = 100_000
+
+
+def _counted(text: pa.Array) -> pa.Array:
     hashed = WordHash()
-    rows = []
-    for t in utf8(pa.array(text, pa.string(), from_pandas=True)):
-        if len(hashed) > 500_000:
+    cols: list[list[int]] = [[] for _ in COUNTS]
+    for t in utf8(text):
+        if len(hashed) > REMEMBER:
             hashed.clear()
-        rows.append(counts(t, hashed))
-    return pd.DataFrame(rows, columns=list(COUNTS), dtype="int64")
+        for into, n in zip(cols, counts(t, hashed), strict=True):
+            into.append(n)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(COUNTS))
 
 
 def with_counts(docs: DataFrame, text_col: str = "text", into: str = "_q") -> DataFrame:
-    return docs.withColumn(into, F.pandas_udf(_counted, f"struct<{STRUCT}>")(F.col(text_col)))
+    # "nondeterministic" keeps the planner from counting once for the filter and again for the columns
+    return docs.withColumn(into, F.arrow_udf(_counted, f"struct<{STRUCT}>").asNondeterministic()(F.col(text_col)))
 
 
 def base_failed(q: str = "_q") -> Column:
@@ -202,14 +208,17 @@ def estimate(counted: DataFrame, lang_col: str = "lang", source_col: str = "sour
     return fit(x.select("x", F.explode("levels").alias("level")))
 
 
-def judge(counted: DataFrame, params: DataFrame, least_rows: int = 100, certainty: float = 0.9999, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(counted: DataFrame, params: DataFrame, least_rows: int = 100, certainty: float = 0.9999, lang_col: str = "lang", source_col: str = "source", broadcast_rows: int = 10_000) -> DataFrame:
     """The counted documents with base_failed, distance (null without an estimate) and kept."""
     cutoff = chi2_quantile(certainty, DIMS)
+    params = cut(params)
+    # broadcast only after a look at its size; more groups than that are joined
+    small = params.count() <= broadcast_rows
     out = counted
     for i, level in enumerate(_levels(lang_col, source_col)):
         own = params.filter(F.col("n") >= least_rows) if i < 2 else params
         p = own.select(F.col("level").alias(f"_l{i}"), F.col("mu").alias(f"_m{i}"), F.col("inv").alias(f"_i{i}"))
-        out = out.join(p, level == F.col(f"_l{i}"), "left")
+        out = out.join(F.broadcast(p) if small else p, level == F.col(f"_l{i}"), "left")
     mu, inv = (F.coalesce(*[F.col(f"_{c}{i}") for i in range(3)]) for c in "mi")
     out = out.withColumn("_x", F.array(*vector())).withColumn("_mu", mu).withColumn("_inv", inv)
     out = out.withColumn("base_failed", base_failed()).withColumn("distance", _squared("_x", "_mu", "_inv"))
@@ -227,5 +236,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that are kept, with their columns."""
     counted = with_counts(docs, text_col)
-    params = cut(estimate(counted.drop(text_col), lang_col, source_col))
-    return judge(counted, params, lang_col=lang_col, source_col=source_col).filter("kept").select(*docs.columns)
+    return judge(counted, estimate(counted.drop(text_col), lang_col, source_col), lang_col=lang_col, source_col=source_col).filter("kept").select(*docs.columns)
