@@ -418,8 +418,8 @@ NOT_BRANDS = ("synths", "effects", "accessories")
 
 def brand_of_path(path: Column) -> Column:
     """Brand slug of a "Category / Part / Brand" path: a known part, else the last part but one, else a name in it."""
-    parts = F.transform(F.split(path, "/"), F.trim)
-    known = F.get(F.filter(F.transform(parts, slugify_hyphen_first), lambda s: s.isin(*EXACT_BRANDS)), 0)
+    parts = F.transform(F.split(path, "/"), lambda x: F.trim(x))
+    known = F.get(F.filter(F.transform(parts, lambda x: slugify_hyphen_first(x)), lambda s: s.isin(*EXACT_BRANDS)), 0)
     parent = F.get(parts, F.size(parts) - 2)
     named = F.when((F.size(parts) >= 3) & (parent != "") & ~F.lower(parent).isin(*NOT_BRANDS), slugify_hyphen_first(parent))
     within = F.get(F.filter(F.array(*map(F.lit, PATH_BRANDS)), lambda b: F.contains(F.lower(path), b)), 0)

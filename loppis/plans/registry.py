@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import pricing, scalars
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import pricing
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (pricing,):
-    QUERIES |= _module.QUERIES
-    ORACLE_SQL |= _module.ORACLE_SQL
+for _module in (pricing, scalars):
+    QUERIES |= _module.book.queries
+    ORACLE_SQL |= _module.book.oracle_sql
