@@ -216,6 +216,7 @@ def round_trip(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        bpe.seen.clear()  # a worker that lives on does not keep the words of its last task
         for b in batches:
             n, ids, texts = [], [], []
             for text in b.column(len(names)).to_pylist():
@@ -227,6 +228,8 @@ def round_trip(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",
                 [*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
                 names=[*names, "n_tokens", "ids", "decoded"],
             )
+            del b, n, ids, texts
+        bpe.seen.clear()
 
     out = docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, full)
     return out if with_ids else out.drop("ids")
