@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: an expression used inside a lambda is otherwise computed for each
+    element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def merged(base: Column, patch: Column) -> Column:
     """Shallow merge of two maps; the patch wins."""
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(patch, k)), patch)

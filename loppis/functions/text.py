@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .nested import let
+
 
 def _lit_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
@@ -192,37 +194,50 @@ def trigrams(c: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared share of all trigrams of two names; 0 if neither has one."""
-    x, y = trigrams(a), trigrams(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+    def share(p: Column) -> Column:
+        union = F.size(F.array_union(p["x"], p["y"]))
+        return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(p["x"], p["y"])) / union)
+
+    return let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), share)
 
 
 def bigrams(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
-    )
+    def cut(s: Column) -> Column:
+        n = F.length(s)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2)))
+        return F.when(n < 2, F.array().cast("array<string>")).otherwise(pairs)
+
+    return let(c, cut)
 
 
 def dice(a: Column, b: Column) -> Column:
     """Bigram coefficient that counts every bigram of a, repeats included, which occurs in b: not symmetric."""
-    x, y = normalized_text(a), normalized_text(b)
-    p, q = bigrams(x), bigrams(y)
-    both = F.size(F.filter(p, lambda g: F.array_contains(q, g)))
-    return (
-        F.when((x == y) | ((F.size(p) == 0) & (F.size(q) == 0)), F.lit(1.0))
-        .when((F.size(p) == 0) | (F.size(q) == 0), F.lit(0.0))
-        .otherwise(2.0 * both / (F.size(p) + F.size(q)))
-    )
+
+    def score(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        both = F.size(F.filter(p, lambda g: F.array_contains(q, g)))
+        return (
+            F.when((s["x"] == s["y"]) | ((F.size(p) == 0) & (F.size(q) == 0)), F.lit(1.0))
+            .when((F.size(p) == 0) | (F.size(q) == 0), F.lit(0.0))
+            .otherwise(2.0 * both / (F.size(p) + F.size(q)))
+        )
+
+    with_pairs = lambda n: F.struct(n["x"], n["y"], bigrams(n["x"]).alias("p"), bigrams(n["y"]).alias("q"))
+    return let(let(F.struct(normalized_text(a).alias("x"), normalized_text(b).alias("y")), with_pairs), score)
 
 
 def token_score(canonical: Column, title: Column) -> Column:
     """Share of the canonical tokens (repeats count) in the title, 0.1 more for a prefix, at most 1, two places."""
-    want, have = tokens(canonical), tokens(title)
-    share = F.size(F.filter(want, lambda t: F.array_contains(have, t))) / F.size(want)
-    prefix = F.startswith(F.array_join(have, " "), F.array_join(want, " "))
-    score = F.when(prefix, F.least(F.lit(1.0), share + 0.1)).otherwise(share)
-    return F.when(F.size(want) == 0, F.lit(0.0)).otherwise(F.floor(score * 100 + 0.5) / 100)
+
+    def score(s: Column) -> Column:
+        want, have = s["want"], s["have"]
+        share = F.size(F.filter(want, lambda t: F.array_contains(have, t))) / F.size(want)
+        prefix = F.startswith(F.array_join(have, " "), F.array_join(want, " "))
+        raised = F.when(prefix, F.least(F.lit(1.0), share + 0.1)).otherwise(share)
+        return F.when(F.size(want) == 0, F.lit(0.0)).otherwise(F.floor(raised * 100 + 0.5) / 100)
+
+    return let(F.struct(tokens(canonical).alias("want"), tokens(title).alias("have")), score)
 
 
 def confidence(score: Column, n_tokens: Column) -> Column:
@@ -348,12 +363,15 @@ def production_era(page: Column) -> Column:
     verbs = "introduced|released|launched|produced|manufactured|first appeared|built|designed|debuted"
     intro = _first(body, rf"(?i)(?:{verbs})[^.]{{0,60}}\b({YEAR})\b")
     years = F.filter(F.regexp_extract_all(body, F.lit(r"\b(19[6-9]\d|20[01]\d)\b"), F.lit(1)), lambda y: y.between("1963", "2025"))
-    counted = F.transform(
-        F.array_distinct(years),
-        lambda y: F.struct((-F.size(F.filter(years, lambda z: z == y))).alias("n"), F.array_position(years, y).alias("at"), y.alias("y")),
-    )
-    top = F.get(F.array_sort(counted), F.lit(0))
-    return F.coalesce(F.get(span, F.lit(0)), intro, F.when(top["n"] <= -2, top["y"]), F.lit(""))
+
+    def most_named(ys: Column) -> Column:
+        counted = F.transform(
+            F.array_distinct(ys),
+            lambda y: F.struct((-F.size(F.filter(ys, lambda z: z == y))).alias("n"), F.array_position(ys, y).alias("at"), y.alias("y")),
+        )
+        return let(F.get(F.array_sort(counted), F.lit(0)), lambda top: F.when(top["n"] <= -2, top["y"]))
+
+    return F.coalesce(F.get(span, F.lit(0)), intro, let(years, most_named), F.lit(""))
 
 
 def production_years(extract: Column) -> Column:

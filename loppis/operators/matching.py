@@ -6,21 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loppis.functions import text
+from loppis.functions.nested import let
 
 from .writes import first_by
 
 WORD_SPLIT = r"[^A-Za-z0-9_-]+"
 
 
+def _runs_of(w: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.when(F.size(w) >= n, F.array_join(F.slice(w, i, n), " "))), lambda g: g.isNotNull())
+
+
 def _grams(words: Column, longest: int) -> Column:
-    """Runs of 1 to `longest` words, joined by spaces."""
-    runs = [
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(
-            F.array().cast("array<string>")
-        )
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+    """Distinct runs of 1 to `longest` words, joined by spaces."""
+
+    def runs(w: Column) -> Column:
+        each = [w]
+        each += [_runs_of(w, n) for n in range(2, longest + 1)]
+        return F.array_distinct(F.concat(*each))
+
+    return let(words, runs)
 
 
 def _words(c: Column) -> Column:
@@ -35,8 +41,10 @@ def token_hits(titles: DataFrame, dictionary: DataFrame, title_id: str, title: s
     never matches.
     """
     keyed = dictionary.withColumn("_gram", F.array_join(F.slice(_words(F.col(token)), 1, longest), " ")).filter((F.col("_gram") != "") & (F.length(token) >= 3))
-    runs = titles.select(title_id, title, F.explode(_grams(_words(F.col(title)), longest)).alias("_gram"))
-    return runs.join(keyed, "_gram").filter(text.contains_token(F.col(title), F.col(token))).drop("_gram", title)
+    # texts stay out of the exploded rows; only candidate pairs meet them again
+    runs = titles.select(title_id, F.explode(_grams(_words(F.col(title)), longest)).alias("_gram"))
+    maybe = runs.join(keyed, "_gram").drop("_gram").distinct()
+    return maybe.join(titles.select(title_id, title), title_id).filter(text.contains_token(F.col(title), F.col(token))).drop(title)
 
 
 def token_hits_naive(titles: DataFrame, dictionary: DataFrame, title_id: str, title: str, token: str) -> DataFrame:

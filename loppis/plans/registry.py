@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import pricing, scalars
+from . import pricing, relational, scalars
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (pricing, scalars):
+for _module in (pricing, relational, scalars):
     QUERIES |= _module.book.queries
     ORACLE_SQL |= _module.book.oracle_sql
