@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,14 @@ def export_graph(products: DataFrame, relations: DataFrame, version: str) -> Dat
     """
     rich = products.join(relation_lists(relations), "slug", "left")
     fields = [c for c in rich.columns if c not in ("slug", "category", "brand")]
-    by_brand = rich.groupBy("category", "brand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", F.struct(*fields))))).alias("products"))
-    by_category = by_brand.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("brand", F.struct("products"))))).alias("brands"))
+
+    def ordered(key: str, value) -> Column:
+        """Map of a group in key order; the values (maps) have no order of their own."""
+        entries = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+
+    by_brand = rich.groupBy("category", "brand").agg(ordered("slug", F.struct(*fields)).alias("products"))
+    by_category = by_brand.groupBy("category").agg(ordered("brand", F.struct("products")).alias("brands"))
     return by_category.select("category", F.lit(version).alias("version"), F.to_json(F.struct("brands")).alias("json"))
 
 
