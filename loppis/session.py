@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+HERE = Path(__file__).resolve().parent
+
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -23,3 +32,29 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, unless PYTHONPATH gives it to them already."""
+    if str(HERE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_loppis_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="loppis-")) / "loppis.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(HERE.rglob("*.py")):
+            z.write(f, f.relative_to(HERE.parent))
+    sc.addPyFile(str(archive))
+    sc._loppis_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package sent ahead."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
