@@ -255,11 +255,17 @@ def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.5) -> Dat
     return often.groupBy("host").agg(F.collect_set("tree").alias("template"))
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(html_col).alias("html"))
-    # the planner broadcasts the hosts' lists if they turn out small enough, or else splits a hot host's pages
-    joined = rows.join(templates(rows, least_pages, share), "host", "left").select("page_id", "url", "template", "html")
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    # at most 100 hosts hold a hundredth of the pages; theirs are dealt over salts, with the list beside each
+    hot = F.broadcast(sizes.filter(F.col("n") * 100 >= sizes.agg(F.sum("n")).scalar()).select("host", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int")).otherwise(0)
+    beside = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, "host", "left").withColumn("salt", salt).drop("hot")
+    lists = templates(rows, least_pages, share).join(hot, "host", "left").select("host", F.explode(beside).alias("salt"), "template")
+    joined = dealt.join(lists, ["host", "salt"], "left").select("page_id", "url", "template", "html")
     kind = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
