@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from loppis.operators.writes import first_by, update_where, upsert
 
@@ -113,7 +113,7 @@ class RateLimiter(StatefulProcessor):
     WINDOW, MOST = 60.0, 20
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", StructType.fromDDL("ends double, n int"))
+        self.open = handle.getValueState("open", StructType([StructField("ends", DoubleType()), StructField("n", IntegerType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         ends, n = self.open.get() if self.open.exists() else (float("-inf"), 0)
