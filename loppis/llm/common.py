@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -136,25 +136,5 @@ def split_sorted(shards: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shards[order], np.arange(n + 1))
 
 
-def map_texts(df: DataFrame, one, schema: str, id_cols: Iterable[str], text_col: str) -> DataFrame:
-    """Applies `one(text bytes) -> tuple` to each row in Arrow batches; keeps id_cols in front of the tuple's columns."""
-    ids = list(id_cols)
-    out = df.select(*[F.col(c) for c in ids]).schema
-    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + [schema])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        names = to_arrow_schema(StructType.fromDDL(full))
-        for b in batches:
-            made = list(zip(*map(one, utf8(b.column(len(ids)))), strict=True)) or [[]] * (len(names) - len(ids))
-            cols = [b.column(i) for i in range(len(ids))]
-            cols += [pa.array(v, names.field(len(ids) + i).type) for i, v in enumerate(made)]
-            yield pa.RecordBatch.from_arrays(cols, schema=names)
-
-    return df.select(*ids, F.col(text_col).alias("__text")).mapInArrow(run, full)
-
-
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -156,7 +156,17 @@ def _param_row(level: str, n: int, mu: np.ndarray, cov: np.ndarray) -> pd.DataFr
     return pd.DataFrame({"level": [level], "n": [n], "mu": [np.round(mu, 9).tolist()], "inv": [inv.ravel().tolist()]})
 
 
-def fit(rows: DataFrame, keep: float = 0.75, steps: int = 5) -> DataFrame:
+def _beside(rows: DataFrame, params: DataFrame, small: bool, salts: int = 64) -> DataFrame:
+    """Rows with the estimate of their level: broadcast if the levels were counted to be few, else dealt over salts,
+    as the level of all documents holds a third of the rows. The rows are a cut table, so their salts are stable."""
+    if small:
+        return rows.join(F.broadcast(params), "level")
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    copies = params.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, ["level", "salt"]).drop("salt")
+
+
+def fit(rows: DataFrame, keep: float = 0.75, steps: int = 5, broadcast_rows: int = 10_000) -> DataFrame:
     """MCD estimates (level, n, mu, inv) from rows (level, x), every row counted in every step.
 
     Starts from coordinatewise medians and quartile ranges. A step keeps the whole bins of distance that the closest
@@ -188,8 +198,9 @@ def fit(rows: DataFrame, keep: float = 0.75, steps: int = 5) -> DataFrame:
                 cov[i, j] = cov[j, i] = t[f"s{i}_{j}"].sum() / m - mu[i] * mu[j]
         return _param_row(t["level"].iloc[0], n, mu, cov * share)
 
+    small = rows.select("level").distinct().count() <= broadcast_rows
     for _ in range(steps):
-        binned = rows.join(params.drop("n"), "level").withColumn("bin", F.floor(F.log(_squared("x", "mu", "inv") + 1e-6) * BINS).cast("int"))
+        binned = _beside(rows, params.drop("n"), small).withColumn("bin", F.floor(F.log(_squared("x", "mu", "inv") + 1e-6) * BINS).cast("int"))
         moments = binned.groupBy("level", "bin").agg(F.count(F.lit(1)).alias("m"), *sums)
         params = moments.groupBy("level").applyInPandas(refit, PARAMS)
     return params
@@ -218,7 +229,7 @@ def judge(counted: DataFrame, params: DataFrame, least_rows: int = 100, certaint
     for i, level in enumerate(_levels(lang_col, source_col)):
         own = params.filter(F.col("n") >= least_rows) if i < 2 else params
         p = own.select(F.col("level").alias(f"_l{i}"), F.col("mu").alias(f"_m{i}"), F.col("inv").alias(f"_i{i}"))
-        out = out.join(F.broadcast(p) if small else p, level == F.col(f"_l{i}"), "left")
+        out = out.join(F.broadcast(p) if small or i == 2 else p, level == F.col(f"_l{i}"), "left")
     mu, inv = (F.coalesce(*[F.col(f"_{c}{i}") for i in range(3)]) for c in "mi")
     out = out.withColumn("_x", F.array(*vector())).withColumn("_mu", mu).withColumn("_inv", inv)
     out = out.withColumn("base_failed", base_failed()).withColumn("distance", _squared("_x", "_mu", "_inv"))

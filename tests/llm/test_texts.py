@@ -394,6 +394,15 @@ def test_mcd_rejects_outliers_only(spark):
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def test_many_levels_join_over_salts(spark, tmp_path):
+    """The join beyond the broadcast's bound gives the same estimates."""
+    r = random.Random(6)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = spark.createDataFrame([([r.gauss(i % 3, 1.0) for _ in range(quality.DIMS)], str(i % 3)) for i in range(600)], "x array<double>, level string").checkpoint()
+    key = lambda df: {p.level: (p.n, [round(v, 6) for v in p.mu]) for p in df.collect()}
+    assert key(quality.fit(rows, broadcast_rows=0)) == key(quality.fit(rows))
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
