@@ -392,8 +392,11 @@ def j27_chained_semi(spark, sf):
 
 @q("""WITH p AS (SELECT p_partkey AS id, p_name AS cat, p_brand AS brand FROM part),
 n AS (SELECT a.id, b.id AS r, 1 AS t FROM p a JOIN p b ON a.cat = b.cat AND a.id <> b.id UNION ALL SELECT a.id, b.id, 2 FROM p a JOIN p b ON a.brand = b.brand AND a.id <> b.id),
-o AS (SELECT id, r, min(t) AS t FROM n GROUP BY 1, 2)
-SELECT id, r AS related_id, rank FROM (SELECT id, r, row_number() OVER (PARTITION BY id ORDER BY t, r) AS rank FROM o) WHERE rank <= 80""")
+o AS (SELECT id, r, min(t) AS t FROM n GROUP BY 1, 2),
+s AS (SELECT p.id FROM p LEFT JOIN (SELECT id, count(*) AS m FROM o GROUP BY 1) g ON p.id = g.id WHERE coalesce(m, 0) < 10),
+x AS (SELECT s.id, b.id AS r, row_number() OVER (PARTITION BY s.id ORDER BY b.id) AS k FROM s JOIN p b ON s.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = s.id AND o.r = b.id)),
+a AS (SELECT id, r, t FROM o UNION ALL SELECT id, r, 3 FROM x WHERE k <= 40)
+SELECT id, r AS related_id, rank FROM (SELECT id, r, row_number() OVER (PARTITION BY id ORDER BY t, r) AS rank FROM a) WHERE rank <= 80""")
 def j28_padded_candidates(spark, sf):
     from loppis.operators import similar
 
