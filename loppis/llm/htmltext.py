@@ -2,9 +2,11 @@
 
 A page is parsed into a tree of elements, with the end tags that HTML lets authors leave out. Elements that by name,
 role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are
-left out. Every other element subtree gets a hash; Spark counts in how many different pages of its host each occurs,
-and subtrees found in a large share of a host's pages are deleted as its template. Identical pages count once, so
-copies of an article do not turn its paragraphs into a template.
+left out. Every other element subtree gets a hash; Spark counts in how many different main parts of its host each
+occurs, and subtrees found in a large share of them are deleted as its template. Pages with the same main part count
+once whatever their heads, comments, menus and footers are, and so does an article beside different other ones; so
+copies of an article do not turn its paragraphs into a template. An outermost article or main element itself always
+stays. Articles that differ in a few paragraphs do count apart.
 
 Blocks are joined in page order by a line feed, white space inside a block is one space, character references are
 decoded. Nulls and empty pages give an empty text, a null url is a host of its own. Repeated rows each get a result.
@@ -17,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -186,16 +189,30 @@ def subtrees(node: Node, into: list[int]) -> int:
             text = True
     value = h.intdigest()
     if text and node.tag in BLOCKS:
-        into.append(value - (1 << 64) if value >= 1 << 63 else value)
+        into.append(_signed(value))
     return value
 
 
-def page_subtrees(page: str) -> list[int]:
-    """Distinct hashes of the block subtrees of a page's main part."""
-    into: list[int] = []
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def page_subtrees(page: str) -> list[tuple[int | None, int, int]]:
+    """(tree, key, kind) of the distinct block subtrees of a page's main part, and of the page itself with tree None.
+
+    The key is a hash of what is left of the whole page (kind 1), of one outermost element (kind 2) or, where there is
+    one such element only, of both (kind 3).
+    """
+    each: list[tuple[int, list[int]]] = []
     for n in _main(parse(page)):
-        subtrees(n, into)
-    return sorted(set(into))
+        into: list[int] = []
+        each.append((_signed(subtrees(n, into)), into))
+    if len(each) == 1:
+        key, into = each[0]
+        return [(None, key, 3), *((t, key, 3) for t in sorted(set(into)))]
+    key = _signed(xxhash.xxh64_intdigest(b"".join(k.to_bytes(8, "little", signed=True) for k, _ in each)))
+    whole = [(t, key, 1) for t in sorted({t for _, into in each for t in into})]
+    return [(None, key, 3), *whole, *sorted({(t, k, 2) for k, into in each for t in into})]
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
@@ -209,11 +226,11 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def walk(n: Node) -> None:
+    def walk(n: Node, outermost: bool = False) -> None:
         block = n.tag in BLOCKS
         if block:
             end()
-            if template and subtrees(n, []) & 0xFFFFFFFFFFFFFFFF in template:
+            if template and not outermost and subtrees(n, []) & 0xFFFFFFFFFFFFFFFF in template:
                 return
         for p in n.parts:
             if isinstance(p, Node):
@@ -224,7 +241,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
             end()
 
     for n in _main(parse(page)):
-        walk(n)
+        walk(n, True)
         end()
     return "\n".join(blocks)
 
@@ -235,21 +252,26 @@ def host(url_col: str):
 
 
 def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, template): hashes of the subtrees in at least `share` of a host's different pages, and least_pages.
+    """(host, template): hashes of the subtrees in at least `share` of a host's different main parts, and least_pages.
 
-    A host's list is bounded by the subtrees of a page divided by the share.
+    A subtree's count is that of the pages with different main parts or of the different outermost elements that hold
+    it, whichever is less. A host's list is bounded by the subtrees of a page divided by the share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees = [page_subtrees(x or "") for x in b.column("html").to_pylist()]
-            pages = [xxhash.xxh64_intdigest((x or "").encode()) - (1 << 63) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(pages, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], names=["host", "page", "trees"])
-
-    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, trees array<bigint>")
-    # identical pages meet before they are counted; the null tree counts the pages themselves
-    each = rows.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree")).distinct()
-    counted = each.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
+            each = [page_subtrees(x or "") for x in b.column("html").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            tree, key, kind = zip(*(row for x in each for row in x), strict=True) if each else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host").take(at), pa.array(tree, pa.int64()), pa.array(key, pa.int64()), pa.array(kind, pa.int8())], names=["host", "tree", "key", "kind"]
+            )
+
+    rows = pages.select("host", "html").mapInArrow(run, "host string, tree long, key long, kind byte")
+    # the same main parts meet before they are counted; the null tree counts the pages themselves
+    once = rows.groupBy("host", "tree", "key").agg(F.bit_or("kind").alias("kind"))
+    of_pages, of_roots = (F.count_if(F.col("kind").bitwiseAND(F.lit(k).cast("byte")) > 0) for k in (1, 2))
+    counted = once.groupBy("host", "tree").agg(F.least(of_pages, of_roots).alias("n"))
     total = counted.filter("tree IS NULL").select("host", F.col("n").alias("pages"))
     often = counted.filter(F.col("tree").isNotNull() & (F.col("n") >= least_pages)).join(total, "host").filter(F.col("n") >= F.col("pages") * share)
     return often.groupBy("host").agg(F.collect_set("tree").alias("template"))

@@ -428,5 +428,21 @@ def test_templates_go(spark):
     assert done[82].text == "Subscribe to us and read on every day\nGood offer"
 
 
+def test_copied_articles_are_no_template(spark):
+    """Copies that differ outside of the article, and an article beside different others, count once."""
+    note = "<div><p>Read on every day</p></div>"
+    around = lambda i, main: f"<html><head><title>{i}</title><script>track({i});</script></head><body><!-- {i} --><nav>n{i}</nav>{main}<footer>f{i}</footer></body>"
+    story = f"<article><h1>One</h1><p>same story</p>{note}</article>"
+    rows = [(i, "http://a.example/x", around(i, story)) for i in range(20)]
+    rows += [(50 + i, "http://a.example/y", around(i, f"<article><p>story {i}</p>{note}</article>")) for i in range(5)]
+    rows += [(100 + i, "http://b.example/x", around(i, f"<article><p>same story</p></article><article><p>other {i}</p></article>")) for i in range(20)]
+    rows += [(150 + i, "http://c.example/x", around(i, "<p>same story</p>")) for i in range(20)]
+    done = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {done[i] for i in range(20)} == {"One\nsame story"}
+    assert [done[50 + i] for i in range(5)] == [f"story {i}" for i in range(5)]
+    assert [done[100 + i] for i in range(20)] == [f"same story\nother {i}" for i in range(20)]
+    assert {done[150 + i] for i in range(20)} == {"same story"}
+
+
 def test_unescape_matches_library():
     assert htmltext.main_text("<p>&lt;b&gt; &copy &#8364; &nosuch; &am</p>") == " ".join(html.unescape("&lt;b&gt; &copy &#8364; &nosuch; &am").split())
