@@ -14,33 +14,39 @@ from .writes import first_by
 def token_overlap_best(names: DataFrame, files: DataFrame, name_id: str, name: str, url: str, at_least: float = 0.75) -> DataFrame:
     """(name_id, url, score): the file that holds most of a name's words (repeats count), shortest name, then url.
 
-    files: url, parts (array), length. Pairs are built through shared words only.
+    files: url, parts (array), length. Pairs are built through shared words only, once for each different name.
     """
-    words = names.select(name_id, text.tokens(F.col(name)).alias("_w")).filter(F.size("_w") > 0)
-    counted = words.select(name_id, F.size("_w").alias("_n"), F.explode("_w").alias("_t"))
+    named = names.select(name_id, F.col(name).alias("_name"))
+    words = named.select("_name").distinct().select("_name", text.tokens(F.col("_name")).alias("_w")).filter(F.size("_w") > 0)
+    counted = words.select("_name", F.size("_w").alias("_n"), F.explode("_w").alias("_t"))
     pieces = files.select(url, "length", F.explode(F.array_distinct("parts")).alias("_t"))
-    pairs = counted.join(pieces, "_t").groupBy(name_id, url, "length", "_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("score", F.col("_m") / F.col("_n"))
+    pairs = counted.join(pieces, "_t").groupBy("_name", url, "length", "_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("score", F.col("_m") / F.col("_n"))
     good = pairs.filter(F.col("score") >= at_least)
-    return first_by(good, [name_id], [F.col("score").desc(), F.col("length"), F.col(url)]).select(name_id, url, "score")
+    best = first_by(good, ["_name"], [F.col("score").desc(), F.col("length"), F.col(url)])
+    return named.join(best, "_name").select(name_id, url, "score")
 
 
 def clean_candidates(dirty: DataFrame, clean: DataFrame, n: int = 5, floor: float = 0.4) -> DataFrame:
     """(id, candidate_id, candidate_name, sim): the n most similar clean names of the same brand by trigrams.
 
-    Both: id, name, brand_id. Pairs are built inside a brand through shared trigrams, so unlike names never meet.
+    Both: id, name, brand_id. Pairs are built inside a brand through shared trigrams, so unlike names never meet; a name that
+    many dirty rows of a brand have is compared once, and keeps one candidate more than n, as one may be the row itself.
     """
-    d = dirty.select(F.col("id"), "brand_id", text.trigrams(F.col("name")).alias("_a"))
+    rows = dirty.select("id", "brand_id", F.col("name").alias("_name")).distinct()
+    d = rows.select("brand_id", "_name").distinct().withColumn("_a", text.trigrams(F.col("_name")))
     c = clean.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate_name"), "brand_id", text.trigrams(F.col("name")).alias("_b"))
     shared = (
-        d.select("id", "brand_id", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
+        d.select("brand_id", "_name", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
         .join(c.select("candidate_id", "candidate_name", "brand_id", F.size("_b").alias("_nb"), F.explode("_b").alias("_g")), ["brand_id", "_g"])
-        .filter("id <> candidate_id")
-        .groupBy("id", "candidate_id", "candidate_name", "_na", "_nb")
+        .groupBy("brand_id", "_name", "candidate_id", "candidate_name", "_na", "_nb")
         .agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("sim", F.col("_m") / (F.col("_na") + F.col("_nb") - F.col("_m")))
         .filter(F.col("sim") >= floor)
     )
-    return top_per_group(shared, ["id"], [F.col("sim").desc(), F.col("candidate_name"), F.col("candidate_id")], n).select("id", "candidate_id", "candidate_name", "sim", "rank")
+    order = [F.col("sim").desc(), F.col("candidate_name"), F.col("candidate_id")]
+    best = top_per_group(shared, ["brand_id", "_name"], order, n + 1).drop("rank")
+    own = rows.join(best, ["brand_id", "_name"]).filter("id <> candidate_id")
+    return top_per_group(own, ["id"], order, n).select("id", "candidate_id", "candidate_name", "sim", "rank")
 
 
 def distinct_names(names: Column, limit: float = 0.85) -> Column:
@@ -53,11 +59,15 @@ def distinct_names(names: Column, limit: float = 0.85) -> Column:
 
 
 def suggestion_duplicates(suggestions: DataFrame, products: DataFrame) -> DataFrame:
-    """(id, product_id): the first product of the same brand where either name contains the other, whatever the case."""
+    """(id, product_id): the first product of the same brand where either name contains the other, whatever the case.
+
+    Different names of a brand are compared once each.
+    """
     s = suggestions.select("id", "brand_id", F.lower("name").alias("_s"))
-    p = products.select("product_id", "brand_id", F.lower("name").alias("_p"))
-    hits = s.join(p, "brand_id").filter(F.contains("_s", F.col("_p")) | F.contains("_p", F.col("_s")))
-    return first_by(hits, ["id"], [F.col("product_id")]).select("id", "product_id")
+    p = products.select("product_id", "brand_id", F.lower("name").alias("_p")).groupBy("brand_id", "_p").agg(F.min("product_id").alias("product_id"))
+    hits = s.select("brand_id", "_s").distinct().join(p, "brand_id").filter(F.contains("_s", F.col("_p")) | F.contains("_p", F.col("_s")))
+    first = hits.groupBy("brand_id", "_s").agg(F.min("product_id").alias("product_id"))
+    return s.join(first, ["brand_id", "_s"]).groupBy("id").agg(F.min("product_id").alias("product_id"))
 
 
 def padded_candidates(products: DataFrame, most: int = 80, few: int = 10, others: int = 40) -> DataFrame:

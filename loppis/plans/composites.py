@@ -114,14 +114,27 @@ def k10_default(spark, sf):
 _FILES = "WITH f AS (SELECT DISTINCT p_brand || '/' || p_name || '/' || p_type AS url, regexp_split_to_array(lower(p_name || '_' || p_type), '[_ ]') AS parts, len(p_name || '_' || p_type) AS length FROM part WHERE p_size < 10)"
 
 
-@q(_FILES + """, n AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part WHERE p_size > 45),
+_OVERLAP = _FILES + """, n AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part WHERE p_size > 45),
 s AS (SELECT p_partkey, url, length, len(list_filter(w, lambda x: list_contains(parts, x))) / len(w) AS score FROM n, f)
-SELECT p_partkey, url, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, length, url) rn FROM s WHERE score >= 0.75) WHERE rn = 1""")
+SELECT p_partkey, url, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, length, url) rn FROM s WHERE score >= 0.75) WHERE rn = 1"""
+
+
+def overlaps(named, filed):
+    """The best file made of the parts `filed` for each of the parts `named`."""
+    files = filed.select(F.concat_ws("/", "p_brand", "p_name", "p_type").alias("url"), F.split(F.lower(F.concat_ws("_", "p_name", "p_type")), "[_ ]").alias("parts"), F.length(F.concat_ws("_", "p_name", "p_type")).alias("length")).distinct()
+    names = named.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_name").alias("name"))
+    return similar.token_overlap_best(names, files, "p_partkey", "name", "url")
+
+
+@q(_OVERLAP)
 def j17_token_overlap(spark, sf):
     p = table(spark, sf, "part")
-    files = p.filter("p_size < 10").select(F.concat_ws("/", "p_brand", "p_name", "p_type").alias("url"), F.split(F.lower(F.concat_ws("_", "p_name", "p_type")), "[_ ]").alias("parts"), F.length(F.concat_ws("_", "p_name", "p_type")).alias("length")).distinct()
-    names = p.filter("p_size > 45").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_name").alias("name"))
-    return similar.token_overlap_best(names, files, "p_partkey", "name", "url")
+    return overlaps(p.filter("p_size > 45"), p.filter("p_size < 10"))
+
+
+@q(_OVERLAP.replace(" WHERE p_size < 10", "").replace(" WHERE p_size > 45", ""))
+def j17_token_overlap_whole(spark, sf):
+    return overlaps(table(spark, sf, "part"), table(spark, sf, "part"))
 
 
 _G = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -131,29 +144,50 @@ s AS (SELECT id, candidate_id, candidate_name, len(list_intersect(a, b)) / len(l
 SELECT id, candidate_id, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, candidate_name, candidate_id) AS rank FROM s WHERE sim >= 0.4) WHERE rank <= 5"""
 
 
-def candidates(spark, sf):
-    p = table(spark, sf, "part")
-    dirty = p.filter("p_size > 40").select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    clean = p.filter("p_size < 20").select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type", c("p_size").cast("string")).alias("name"))
+def candidates(dirty, clean):
+    """Clean names made of the parts `clean` for each of the parts `dirty`."""
+    dirty = dirty.select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    clean = clean.select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type", c("p_size").cast("string")).alias("name"))
     return similar.clean_candidates(dirty, clean)
 
 
 @q(_CAND)
 def j18_clean_candidates(spark, sf):
-    return candidates(spark, sf).select("id", "candidate_id", F.round("sim", 6).alias("sim"), "rank")
+    p = table(spark, sf, "part")
+    return candidates(p.filter("p_size > 40"), p.filter("p_size < 20")).select("id", "candidate_id", F.round("sim", 6).alias("sim"), "rank")
 
 
-@q("""SELECT id, min(product_id) AS product_id FROM (SELECT a.p_partkey AS id, b.p_partkey AS product_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size < 25 AND a.p_size > 40 AND (contains(lower(a.p_name || ' ' || a.p_type), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name || ' ' || a.p_type)))) GROUP BY 1""")
-def j19_suggestion_duplicates(spark, sf):
+@q(_CAND.replace(" WHERE p_size > 40", "").replace(" WHERE p_size < 20", "").replace("JOIN k USING (p_brand)", "JOIN k USING (p_brand) WHERE id <> candidate_id"))
+def j18_clean_candidates_whole(spark, sf):
     p = table(spark, sf, "part")
-    s = p.filter("p_size > 40").select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    k = p.filter("p_size < 25").select(c("p_partkey").alias("product_id"), c("p_brand").alias("brand_id"), c("p_name").alias("name"))
+    return candidates(p, p).select("id", "candidate_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+_SUGGESTED = """SELECT id, min(product_id) AS product_id FROM (SELECT a.p_partkey AS id, b.p_partkey AS product_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size < 25 AND a.p_size > 40 AND (contains(lower(a.p_name || ' ' || a.p_type), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name || ' ' || a.p_type)))) GROUP BY 1"""
+
+
+def suggested(suggestions, known):
+    """The first of the parts `known` for each suggestion made of a part."""
+    s = suggestions.select(c("p_partkey").alias("id"), c("p_brand").alias("brand_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    k = known.select(c("p_partkey").alias("product_id"), c("p_brand").alias("brand_id"), c("p_name").alias("name"))
     return similar.suggestion_duplicates(s, k)
 
 
+@q(_SUGGESTED)
+def j19_suggestion_duplicates(spark, sf):
+    p = table(spark, sf, "part")
+    return suggested(p.filter("p_size > 40"), p.filter("p_size < 25"))
+
+
+@q(_SUGGESTED.replace(" AND b.p_size < 25 AND a.p_size > 40", ""))
+def j19_suggestion_duplicates_whole(spark, sf):
+    return suggested(table(spark, sf, "part"), table(spark, sf, "part"))
+
+
 @q()
 def a21_greedy_distinct(spark, sf):
-    five = candidates(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_name"))).alias("r"))
+    p = table(spark, sf, "part")
+    five = candidates(p, p).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_name"))).alias("r"))
     return five.select("id", F.array_join(similar.distinct_names(c("r.candidate_name")), "|").alias("kept"))
 
 

@@ -318,16 +318,26 @@ f AS (SELECT canonical, id, CASE WHEN s.slug = p.slug THEN 1 WHEN starts_with(p.
 SELECT canonical, id AS product_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY tier, id) rn FROM f WHERE tier IS NOT NULL) WHERE rn = 1"""
 
 
-@q(_RESOLVE)
-def j16_resolve_canonical(spark, sf):
-    p = table(spark, sf, "part")
-    prods = p.filter("p_size < 30").select(
+def resolved(named, p):
+    """Canonical names made of the parts `named`, resolved to the parts p."""
+    prods = p.select(
         c("p_partkey").alias("product_id"), F.concat_ws("-", F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.lower("p_type"), c("p_size").cast("string")).alias("slug"), F.concat_ws(" ", "p_brand", "p_name").alias("name")
     )
     full = F.concat_ws(" ", "p_name", "p_type", c("p_size").cast("string"))
     k = c("p_partkey") % 4
     name = F.when(k == 0, full).when(k == 1, c("p_name")).when(k == 2, F.concat_ws(" ", F.lit("old"), full)).otherwise(F.concat_ws(" ", "p_brand", F.substring("p_name", 1, 3)))
-    return matching.resolve_canonical(p.filter("p_partkey < 400").select(name.alias("canonical")), prods)
+    return matching.resolve_canonical(named.select(name.alias("canonical")), prods)
+
+
+@q(_RESOLVE)
+def j16_resolve_canonical(spark, sf):
+    p = table(spark, sf, "part")
+    return resolved(p.filter("p_partkey < 400"), p.filter("p_size < 30"))
+
+
+@q(_RESOLVE.replace(" WHERE p_size < 30", "").replace(" WHERE p_partkey < 400", ""))
+def j16_resolve_canonical_whole(spark, sf):
+    return resolved(table(spark, sf, "part"), table(spark, sf, "part"))
 
 
 @q("""SELECT p_partkey, count(o) AS demand FROM part LEFT JOIN (SELECT o_orderkey AS o, lower(o_orderpriority || ' ' || p2.p_name || ' ' || p2.p_type) AS query FROM orders JOIN part p2 ON o_orderkey % 300 = p2.p_partkey) ON contains(query, lower(part.p_name || ' ' || part.p_type)) GROUP BY 1""")
@@ -365,14 +375,25 @@ def j24_scalar_lookup(spark, sf):
     return table(spark, sf, "supplier").join(r, "s_nationkey", "left").select("s_suppkey", "region")
 
 
-@q("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_returnflag = 'R' AS clone FROM lineitem WHERE l_quantity > 47)
-SELECT p_partkey AS id, (SELECT string_agg(b, ',' ORDER BY b) FROM e WHERE NOT clone AND a = p_partkey) AS related, (SELECT string_agg(a, ',' ORDER BY a) FROM e WHERE clone AND b = p_partkey) AS clones FROM part WHERE p_partkey < 100""")
-def j25_relations(spark, sf):
+_RELATIONS = """WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_returnflag = 'R' AS clone FROM lineitem WHERE l_quantity > 47)
+SELECT p_partkey AS id, (SELECT string_agg(b, ',' ORDER BY b) FROM e WHERE NOT clone AND a = p_partkey) AS related, (SELECT string_agg(a, ',' ORDER BY a) FROM e WHERE clone AND b = p_partkey) AS clones FROM part WHERE p_partkey < 100"""
+
+
+def relations(spark, sf, p):
     e = items(spark, sf).filter("l_quantity > 47").select(c("l_partkey").alias("a"), c("l_suppkey").alias("b"), (c("l_returnflag") == "R").alias("clone")).distinct()
     rel = e.filter("NOT clone").groupBy(c("a").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("b")).cast("array<string>"), ",").alias("related"))
     clones = e.filter("clone").groupBy(c("b").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("a")).cast("array<string>"), ",").alias("clones"))
-    p = table(spark, sf, "part").filter("p_partkey < 100").select(c("p_partkey").alias("id"))
-    return p.join(rel, "id", "left").join(clones, "id", "left").select("id", "related", "clones")
+    return p.select(c("p_partkey").alias("id")).join(rel, "id", "left").join(clones, "id", "left").select("id", "related", "clones")
+
+
+@q(_RELATIONS)
+def j25_relations(spark, sf):
+    return relations(spark, sf, table(spark, sf, "part").filter("p_partkey < 100"))
+
+
+@q(_RELATIONS.removesuffix(" WHERE p_partkey < 100"))
+def j25_relations_whole(spark, sf):
+    return relations(spark, sf, table(spark, sf, "part"))
 
 
 @q("""SELECT o_orderkey, coalesce(a.p_retailprice, b.p_retailprice) AS price FROM orders LEFT JOIN part a ON CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END = a.p_partkey

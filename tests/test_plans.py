@@ -52,6 +52,50 @@ def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+WHOLE = {"j16_resolve_canonical": "product_id", "j17_token_overlap": "p_partkey", "j18_clean_candidates": "id", "j19_suggestion_duplicates": "id", "j25_relations": "id"}
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_table_of_parts(spark, name):
+    """Neither the whole queries nor their SQL have a cut: parts of all sizes have results."""
+    sql = registry.ORACLE_SQL[f"{name}_whole"]
+    assert not any(x in sql for x in ("p_size <", "p_size >", "p_partkey <"))
+    rows = registry.QUERIES[f"{name}_whole"](spark, SF).select(F.col(WHOLE[name]).alias("p_partkey"))
+    sizes = spark.read.parquet(f"{SF}/part.parquet").join(rows, "p_partkey", "left_semi")
+    assert sizes.filter("p_size BETWEEN 25 AND 40").count() > 0 and sizes.filter("p_size < 20").count() > 0 and sizes.filter("p_size > 45").count() > 0
+
+
+@needs_data
+def test_greedy_distinct_takes_all_parts(spark):
+    """Against brute force over all parts, of which the middle sizes were left out."""
+
+    def grams(name):
+        return {f"  {w} "[i : i + 3] for w in name.lower().split() for i in range(len(w) + 1)}
+
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    want = {}
+    for p in parts:
+        a, found = grams(f"{p.p_name} {p.p_type}"), []
+        for k in parts:
+            if k.p_brand == p.p_brand and k.p_partkey != p.p_partkey:
+                name = f"{k.p_name} {k.p_type} {k.p_size}"
+                b = grams(name)
+                if (sim := len(a & b) / len(a | b)) >= 0.4:
+                    found.append((-sim, name, k.p_partkey))
+        if found:
+            want[p.p_partkey] = [name for _, name, _ in sorted(found)[:5]]
+    got = {r.id: r.kept for r in registry.QUERIES["a21_greedy_distinct"](spark, SF).collect()}
+    assert set(got) == set(want)
+    assert any(20 <= p.p_size <= 40 for p in parts if p.p_partkey in got)
+    for i in sorted(want, key=lambda i: (-len(want[i]), i))[:4]:
+        kept = []
+        for name in want[i]:
+            if all(value(spark, text.dice(F.lit(name), F.lit(x))) <= 0.85 for x in kept):
+                kept.append(name)
+        assert got[i] == "|".join(kept)
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
