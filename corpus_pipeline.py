@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each of which works on what the one before it kept.
 
-Rows with equal ids are one document: near-duplicate removal keeps or drops them together. A document whose lines
-are all dropped stays with an empty text.
+Near-duplicate removal goes by rows, whatever their ids: one row of each group stays. A document whose lines are all
+dropped stays with an empty text; rows without a word are in no group.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loppis.llm import bpe, decontaminate, jaccard, linededup, quality
-from loppis.llm.common import cut, table
+from loppis.llm.common import WORD, cut, table
 from loppis.llm.queries import vocabulary
+from loppis.operators.writes import first_by
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group linked at 80 per cent of five-word shingles."""
-    found = jaccard.join(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row stays of each group linked at 80 per cent of five-word shingles: that of the smallest id, nulls last,
+    then by a hash of the text."""
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # rows equal in id and text share a key; the hash's length is fixed, so no two ids and texts give one name
+    name = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.sha2("text", 256))
+    keyed = docs.filter(has_word).withColumn("_row", F.sha2(name, 256))
+    found = jaccard.join(keyed.select("_row", "text"), size=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = keyed.select("_row", "doc_id").distinct().join(found, "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")).select("least._row")
+    kept = first_by(keyed.join(first, "_row", "left_semi"), ["_row"], [F.col("_row")])
+    return kept.select(*docs.columns).unionByName(docs.filter(~has_word))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

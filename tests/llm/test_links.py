@@ -143,6 +143,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert r.n_tokens == len(ids) and bytes(r.ids) == b"".join(x.to_bytes(4, "little") for x in ids)
 
 
+def test_near_duplicates_go_by_row(spark, tmp_path):
+    """Null ids, repeated rows and an id with two texts: one row of each group stays, rows without a word all stay."""
+    a, b, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abde")
+    rows = [(None, a), (None, a), (None, a + " end"), (1, b), (1, b), (2, b + " end"), (2, d), (None, e), (7, e), (3, ""), (3, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sum(t in (a, a + " end") for _, t in left) == 1
+    want = [(1, b), (2, d), (7, e), (3, ""), (3, ""), (None, None), (None, None)]
+    assert sorted((x for x in left if x[1] not in (a, a + " end")), key=str) == sorted(want, key=str)
+
+
 def test_stages_return_documents_columns(spark, tmp_path):
     """Each stage but the last keeps the columns, extra ones too, and bears an empty table."""
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, key string")
