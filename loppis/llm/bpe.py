@@ -4,8 +4,12 @@ Each pre-token starts as its byte symbols, the last one marked as the end of a w
 rank of every adjacent pair; its root gives the leftmost pair of the lowest rank. A merge updates three leaves in
 logarithmic time, until the root holds no rank.
 
+Short pre-tokens are merged many at a time: their trees are rows of one numpy array, and each round takes the root of
+every row and makes its three updates. Long ones have a tree of their own. A worker remembers what pieces of text
+between white space gave, up to a bound in bytes.
+
 Null and empty texts have no tokens and decode to an empty text. Further columns are ignored; repeated rows each
-get a result.
+get a result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import runs
+
+#: Rank of pairs that do not merge.
 NO_RANK = 1 << 40
 
 #: Code points that Unicode made letters or numbers after version 16, which the tokenizer file is read with.
@@ -92,11 +99,38 @@ class MergeTree:
         return divmod(self.node[1], self.size)
 
 
+class Memory:
+    """Results of pieces of text in two generations, each bounded in bytes; what is asked for moves to the younger."""
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, 0
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
+    def take(self, piece: str) -> tuple[bytes, str] | None:
+        """From the older generation; the younger one is for the caller to ask first."""
+        made = self.old.pop(piece, None)
+        if made is not None:
+            self.put(piece, made)
+        return made
+
+    def put(self, piece: str, made: tuple[bytes, str]) -> None:
+        cost = 350 + 4 * len(piece) + len(made[0]) + 4 * len(made[1])
+        if cost > self.limit // 64:
+            return
+        if self.used + cost > self.limit:
+            self.old, self.young, self.used = self.young, {}, 0
+        self.young[piece] = made
+        self.used += cost
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file of the word-end BPE kind."""
 
-    #: Pre-tokens' decoded text and ids are remembered for this many distinct pre-tokens at most.
-    REMEMBER = 200_000
+    #: Bytes, by estimate, that each of the two generations of remembered pieces may take in a worker.
+    REMEMBER = 96 << 20
+    #: Pre-tokens of up to so many bytes are merged side by side, so many at a time; longer ones alone.
+    SHORT, ROWS = 65, 4096
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -112,6 +146,15 @@ class WordBpe:
         self.plain = [self.vocab[c] for c in self.letter]
         self.last = [self.vocab[c + self.suffix] for c in self.letter]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        # arrays for merging side by side; symbols count from 1 there, 0 is no symbol
+        self.base = max(self.token) + 2
+        pairs = np.array([(a + 1) * self.base + b + 1 for a, b in self.rank], np.int64)
+        ranks = np.array([r for r, _ in self.rank.values()], np.int64)
+        self.made = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+        self.made[ranks] = [i + 1 for _, i in self.rank.values()]
+        order = np.argsort(pairs)
+        self.pairs, self.pair_rank = np.append(pairs[order], np.int64(1) << 62), np.append(ranks[order], NO_RANK)
+        self.plain_row, self.last_row = np.array(self.plain, np.int64) + 1, np.array(self.last, np.int64) + 1
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.early = regex.compile(split)  # for texts without any letter or number as late as that
         self.beyond = regex.compile(f"[\\U{spans(LATER)[0][0]:08X}-\\U0010FFFF]")
@@ -124,7 +167,7 @@ class WordBpe:
         self.lower = {c: c + d for a, b, d in moves(LOWER_16) for c in range(a, b + 1)}
         self.capitals = regex.compile("[" + "".join(map(chr, self.lower)) + "]")
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
-        self.seen: dict[str, tuple[bytes, int, str]] = {}
+        self.memory = Memory(self.REMEMBER)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -154,13 +197,85 @@ class WordBpe:
             if before[at] >= 0:
                 tree.set(before[at], self.rank.get((ids[before[at]], ids[at]), none)[0])
 
-    def word(self, piece: str) -> tuple[bytes, int, str]:
-        """(ids as little-endian words, count, decoded tokens joined by spaces) of a pre-token."""
-        if len(self.seen) >= self.REMEMBER:
-            self.seen.clear()
-        ids = self.merge(piece.encode())
-        made = (np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.token[i] for i in ids))
-        self.seen[piece] = made
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of symbols, NO_RANK for those that do not merge."""
+        key = a * self.base + b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], NO_RANK)
+
+    def merge_rows(self, pieces: list[bytes], depth: int) -> list[np.ndarray]:
+        """Ids of pre-tokens of 1 to 2 ** depth + 1 bytes, whose segment trees are the rows of one array."""
+        leaves = 1 << depth
+        n, wide = len(pieces), leaves + 2
+        length = np.fromiter(map(len, pieces), np.int64, n)
+        column = np.arange(wide)
+        there = column[None] < length[:, None]
+        bytes_ = np.zeros((n, wide), np.int64)
+        bytes_[there] = np.frombuffer(b"".join(pieces), np.uint8)
+        symbol = np.where(there, np.where(column[None] == length[:, None] - 1, self.last_row[bytes_], self.plain_row[bytes_]), 0)
+        node = np.full((n, 2 * leaves), NO_RANK * leaves, np.int64)
+        node[:, leaves:] = self._ranks(symbol[:, :leaves], symbol[:, 1 : leaves + 1]) * leaves + column[:leaves]
+        for level in range(depth - 1, -1, -1):
+            low = 1 << level
+            node[:, low : 2 * low] = np.minimum(node[:, 2 * low : 4 * low : 2], node[:, 2 * low + 1 : 4 * low : 2])
+        after = np.tile(column + 1, (n, 1)).ravel()
+        before = np.tile(np.append(leaves + 1, column[:-1]), (n, 1)).ravel()  # the last column stands for "none"
+        symbol, node = symbol.ravel(), node.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            root = node[rows * (2 * leaves) + 1]
+            live = root < NO_RANK * leaves
+            if not live.all():
+                rows, root = rows[live], root[live]
+                if not len(rows):
+                    break
+            s, t = rows * wide, rows * (2 * leaves)
+            at = root & (leaves - 1)
+            right, left = after[s + at], before[s + at]
+            beyond = after[s + right]
+            new = self.made[root >> depth]
+            symbol[s + at], symbol[s + right] = new, 0
+            after[s + at], before[s + beyond] = beyond, at
+            leaf = np.concatenate([np.minimum(right, leaves - 1), np.where(left <= leaves, left, at), at])
+            # in this order: without a left neighbour, and at the last symbol, the pair's own leaf is written last
+            node[t + leaves + leaf[: len(rows)]] = NO_RANK * leaves
+            node[t + leaves + leaf[len(rows) : 2 * len(rows)]] = self._ranks(symbol[s + left], new) * leaves + leaf[len(rows) : 2 * len(rows)]
+            node[t + leaves + at] = self._ranks(new, symbol[s + beyond]) * leaves + at
+            three, up = np.concatenate([t, t, t]), leaf + leaves
+            for _ in range(depth):
+                up >>= 1
+                node[three + up] = np.minimum(node[three + 2 * up], node[three + 2 * up + 1])
+        symbol = symbol.reshape(n, wide)
+        left_over = symbol > 0
+        return np.split((symbol[left_over] - 1).astype("<u4"), np.cumsum(left_over.sum(1))[:-1])
+
+    def merge_all(self, pieces: list[str]) -> dict[str, np.ndarray]:
+        """Ids of distinct pre-tokens."""
+        out: dict[str, np.ndarray] = {}
+        rows: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            data = piece.encode()
+            if len(data) > self.SHORT:
+                out[piece] = np.array(self.merge(data), "<u4")
+            else:
+                rows.setdefault(max(0, len(data) - 2).bit_length(), []).append((piece, data))
+        for depth, some in rows.items():
+            for i in range(0, len(some), self.ROWS):
+                part = some[i : i + self.ROWS]
+                out.update(zip([p for p, _ in part], self.merge_rows([d for _, d in part], depth), strict=True))
+        return out
+
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids as little-endian words, decoded tokens joined by spaces) of distinct pieces between white space."""
+        split = {}
+        for piece in pieces:
+            text = self.normal(piece)
+            split[piece] = (self.split if self.beyond.search(text) else self.early).findall(text)
+        ids = self.merge_all(list(dict.fromkeys(w for words in split.values() for w in words)))
+        shown = {w: " ".join([self.token[i] for i in x.tolist()]) for w, x in ids.items()}
+        made = {p: (b"".join([ids[w].tobytes() for w in words]), " ".join([shown[w] for w in words])) for p, words in split.items()}
+        for p, x in made.items():
+            self.memory.put(p, x)
         return made
 
     def normal(self, text: str) -> str:
@@ -171,28 +286,50 @@ class WordBpe:
                 text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
-    def words(self, text: str) -> list[tuple[bytes, int, str]]:
-        """The encoded pre-tokens of a text, special tokens taken from the raw text first."""
+    def pieces(self, text: str) -> list[str | int]:
+        """The text between white space, and ids of special tokens, taken from the raw text first."""
         if "<|" not in text:
-            return self._plain(text)
-        out: list[tuple[bytes, int, str]] = []
+            return self._pieces(text)
+        out: list[str | int] = []
         at = 0
         for m in self.specials.finditer(text):
-            out += self._plain(text[at : m.start()])
-            i = self.special[m.group()]
-            out.append((np.array([i], "<u4").tobytes(), 1, self.token[i]))
+            out += self._pieces(text[at : m.start()])
+            out.append(self.special[m.group()])
             at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[tuple[bytes, int, str]]:
-        seen = self.seen.get
-        word = self.word
-        text = self.normal(text)
-        split = self.split if self.beyond.search(text) else self.early
-        return [seen(piece) or word(piece) for piece in split.findall(text)]
+        return out + self._pieces(text[at:])
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        # no pre-token holds white space, and neither letter case nor composition reaches across it; the four
+        # separators are white space to str.split but not to the pattern
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [x for x in text.replace("\n", " ").split(" ") if x]
+        return text.split()
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian words, decoded text) of each text."""
+        split = [self.pieces(t) for t in texts]
+        known: dict[str | int, tuple[bytes, str]] = {}
+        young, take = self.memory.young, self.memory.take
+        asked = set().union(*split)
+        unknown = []
+        for x in asked:
+            if isinstance(x, int):
+                known[x] = (np.array([x], "<u4").tobytes(), self.token[x])
+            elif (made := young.get(x) or take(x)) is not None:
+                known[x] = made
+            else:
+                unknown.append(x)
+        if unknown:
+            known |= self.learn(unknown)
+        out = []
+        for pieces in split:
+            made = [known[x] for x in pieces]
+            out.append((b"".join([m[0] for m in made]), " ".join([m[1] for m in made if m[1]])))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(w[0] for w in self.words(text)), "<u4").tolist()
+        return np.frombuffer(self.encode_all([text])[0][0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder gives them."""
@@ -208,28 +345,33 @@ def tokenizer(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def round_trip(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """The id columns, n_tokens, decoded, and ids (binary, little-endian unsigned 32-bit) if asked for."""
+def round_trip(
+    docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True, batch_chars: int = 2_000_000
+) -> DataFrame:
+    """The id columns, n_tokens, decoded, and ids (binary, little-endian unsigned 32-bit) if asked for.
+
+    Texts are encoded `batch_chars` code points at a time; a longer text makes a batch of its own.
+    """
     names = list(id_cols)
     kinds = docs.select(*names).schema
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["n_tokens long", "ids binary", "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        bpe.seen.clear()  # a worker that lives on does not keep the words of its last task
         for b in batches:
-            n, ids, texts = [], [], []
-            for text in b.column(len(names)).to_pylist():
-                words = bpe.words(text or "")
-                n.append(sum(w[1] for w in words))
-                ids.append(b"".join([w[0] for w in words]))
-                texts.append(" ".join([w[2] for w in words]))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                names=[*names, "n_tokens", "ids", "decoded"],
-            )
-            del b, n, ids, texts
-        bpe.seen.clear()
+            column = b.column(len(names))
+            for at, n in runs(column, batch_chars):
+                done = bpe.encode_all([t or "" for t in column.slice(at, n).to_pylist()])
+                ids = [i for i, _ in done]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.slice(at, n) for c in b.columns[: len(names)]),
+                        pa.array([len(i) // 4 for i in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                        pa.array([d for _, d in done], pa.string()),
+                    ],
+                    names=[*names, "n_tokens", "ids", "decoded"],
+                )
 
     out = docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, full)
     return out if with_ids else out.drop("ids")

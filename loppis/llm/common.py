@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,16 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def runs(texts: pa.Array, most_chars: int) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of texts of up to so many code points; a longer text makes a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, before + most_chars, "right")))
+        yield at, to - at
+        at, before = to, int(ends[to - 1])
+
+
 class WordHash(dict):
     """64-bit hash of each word, computed once for the lifetime of the table (a bucket)."""
 

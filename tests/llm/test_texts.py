@@ -117,7 +117,7 @@ def test_bpe_equals_library(docs):
     for t in texts:
         want = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == want
-        assert own.decode(want) == lib.decode(want, skip_special_tokens=False) == " ".join(w[2] for w in own.words(t))
+        assert own.decode(want) == lib.decode(want, skip_special_tokens=False) == own.encode_all([t])[0][1]
     done = by_id(bpe.digests(docs, path))
     for i, t in corpus():
         ids = lib.encode(t or "", add_special_tokens=False).ids
@@ -126,6 +126,44 @@ def test_bpe_equals_library(docs):
         assert done[i][0].decoded_sha256 == sha(lib.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_rows_equal_single_trees():
+    """Trees side by side merge as the single tree does, for every length and row count."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    own = bpe.WordBpe(path)
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeinorst'é日") for _ in range(n)) for n in range(1, 60) for _ in range(20)]
+    words = [w for w in dict.fromkeys(words) if len(w.encode()) <= own.SHORT]
+    made = own.merge_all(words)
+    assert all(made[w].tolist() == own.merge(w.encode()) for w in words)
+
+
+def test_bpe_long_pre_tokens_and_empty_tables(spark, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    assert bpe.digests(empty, path).count() == 0
+    long = "abracadabra" * 3000
+    rows = [(1, long, "x"), (1, long, "x"), (None, "!" * 9000 + " one", "x"), (3, None, "x"), (4, "\x1c\x1d a\x1fb", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = bpe.digests(docs, path).collect()
+    assert len(got) == 5
+    for g in got:
+        text = {1: long, None: rows[2][1], 3: "", 4: rows[4][1]}[g.doc_id]
+        assert g.n_tokens == len(lib.encode(text, add_special_tokens=False).ids)
+        assert g.decoded_sha256 == sha(lib.decode(lib.encode(text, add_special_tokens=False).ids, skip_special_tokens=False))
+
+
+def test_bpe_memory_is_bounded_and_changes_nothing():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    own, small = bpe.WordBpe(path), bpe.WordBpe(path)
+    small.memory = bpe.Memory(1 << 15)
+    r = random.Random(3)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 6))) for _ in range(30)) for _ in range(4)]
+        assert small.encode_all(texts) == own.encode_all(texts)
+        assert small.memory.used <= small.memory.limit and len(small.memory.old) + len(small.memory.young) < 500
+
+
 def test_merge_tree_gives_leftmost_lowest():
     t = bpe.MergeTree([5, 3, 9, 3])
     assert t.best() == (3, 1)
