@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,16 +32,28 @@ def groups(spark: SparkSession, n: int | None = None) -> int:
     return n or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names; sets one only where none is set, as in local tests."""
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder: the shared one the cluster names; a folder of its own only on a local master."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    here = sc._jsc.sc().getCheckpointDir()
+    if here.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="loppis-checkpoints-")
         sc.setCheckpointDir(named)
+        here = sc._jsc.sc().getCheckpointDir()
+        _gone_at_end(spark, here.get())
+    return here.get()
+
+
+def _gone_at_end(spark: SparkSession, folder: str) -> None:
+    """The session's end removes the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,6 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a compressed table beside the checkpoints, of which later steps read single columns."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoints(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder, compression="zstd")
+    _gone_at_end(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
     """(bucket, doc_id, text, carried): documents dealt to n buckets by a hash of id and text, copies under other ids
     apart."""

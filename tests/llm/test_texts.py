@@ -482,5 +482,72 @@ def test_copied_articles_are_no_template(spark):
     assert {done[150 + i] for i in range(20)} == {"same story"}
 
 
+def test_marks_inside_articles_stay():
+    """Inside an article only whole names of adverts and comments, and elements by name, go."""
+    page = """<div class="site-nav">menu</div><article><h1>T</h1><p class='alert'>Storm warning</p><div class='related-work'>Work</div>
+<section id='legal'>Law</section><div class='share-price'>12 up</div><div class="ad">buy</div><div class="x comments">nice</div><nav>n</nav></article>"""
+    assert htmltext.main_text(page) == "T\nStorm warning\nWork\nLaw\n12 up"
+    page = "<body><div class='main-nav'>menu</div><div id='cookie_banner'>c</div><div class='share-price'>12 up</div><div class='related-work'>Work</div><p>x</p></body>"
+    assert htmltext.main_text(page) == "12 up\nWork\nx"
+
+
+def test_pages_of_any_depth_and_breakage():
+    """Deep, open and broken pages take time in proportion to their length."""
+    assert htmltext.main_text("<div>" * 100_000 + "deep") == "deep"
+    assert htmltext.main_text("<span>" * 50_000 + "x" + "<h1>" * 50_000 + "y") == "x\ny"
+    assert htmltext.main_text("<p><select>" + "<h1>" * 50_000 + "x") == ""
+    assert htmltext.main_text("<a " * 350_000).count("<a") == 350_000
+    assert htmltext.main_text("a" + '<a href="' * 100_001 + ">b") == "ab"
+    assert htmltext.main_text("<p>a</p>" + "<" * 500_000 + "<p>b") == "a\n" + "<" * 500_000 + "\nb"
+    assert htmltext.main_text("<ul>" + "<li>a" * 50_000).count("a") == 50_000
+    assert htmltext.main_text("<div>" * 30_000 + "</b>" * 60_000 + "t") == "t"
+    assert htmltext.main_text("x<script>" * 50_000) == "x" and htmltext.main_text("x<!-- y") == "x"
+    assert htmltext.main_text("<p title='a > b'>c</p><p title=it's>d</p>") == "c\nd"
+
+
+def test_wrappers_of_a_single_article_are_no_subtrees(spark):
+    """An element around the outermost article is not deleted with it, wherever it starts and ends."""
+    rows = [(i, "http://a.example/", f"<body><div><section><article><p>one</p><p>two</p></article></section></div><footer>{i}</footer></body>") for i in range(9)]
+    rows += [(20 + i, "http://a.example/", f"<body><div><article><p>t{i}</p></article><article><p>s{i}</p></article></div>") for i in range(2)]
+    done = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {done[i] for i in range(9)} == {"one\ntwo"} and done[21] == "t1\ns1"
+
+
+def test_templates_equal_brute_force(spark):
+    """Random trees: subtrees in half of a host's different main parts, and five of them, go, as counted over the trees."""
+    r = random.Random(12)
+    shared = [("div", [("p", [f"menu {i}"]), ("p", [r.choice(["a", "b"])])]) for i in range(4)]
+
+    def tree(depth):
+        kids = [r.choice(shared) if r.random() < 0.4 else tree(depth - 1) if depth and r.random() < 0.5 else ("p", [f"w{r.randrange(12)}"]) for _ in range(r.randint(1, 3))]
+        return ("div", kids)
+
+    def shown(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(shown, t[1]))}</{t[0]}>"
+
+    def blocks(t):
+        return [] if isinstance(t, str) else [shown(t), *(b for k in t[1] for b in blocks(k))]
+
+    def lines(t, gone):
+        if isinstance(t, str):
+            return [t]
+        return [] if shown(t) in gone else [x for k in t[1] for x in lines(k, gone)]
+
+    pages = [(i, r.choice("abc"), [tree(2), r.choice(shared), tree(1)]) for i in range(60)]
+    pages += [(100 + i, h, t) for i, h, t in pages[:20]]
+    want = {}
+    for h in "abc":
+        mains = {"".join(map(shown, t)): {b for x in t for b in blocks(x)} for _, g, t in pages if g == h}
+        count = Counter(b for found in mains.values() for b in found)
+        gone = {b for b, n in count.items() if n >= 5 and n >= 0.5 * len(mains)}
+        assert gone
+        want |= {i: "\n".join(x for k in t for x in lines(k, gone)) for i, g, t in pages if g == h}
+    # the wrapping element takes part in the hash of the whole, not in the subtrees that the trees count
+    rows = [(i, f"http://{h}.example/{i}", "".join(map(shown, t)), "x", 1) for i, h, t in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, trees int").repartition(4)
+    assert {x.page_id: x.text for x in htmltext.extract(df).collect()} == want
+    assert {x.page_id: x.text for x in htmltext.extract(df, broadcast_trees=0).collect()} == want
+
+
 def test_unescape_matches_library():
     assert htmltext.main_text("<p>&lt;b&gt; &copy &#8364; &nosuch; &am</p>") == " ".join(html.unescape("&lt;b&gt; &copy &#8364; &nosuch; &am").split())
