@@ -23,13 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def groups(spark: SparkSession, n: int | None = None) -> int:
-    """Number of document buckets and of key shards.
+#: Text bytes of a document bucket, at which it stays a small part of a task's memory.
+BUCKET_BYTES = 8 << 20
 
-    Twice the shuffle partitions, which the user sizes to the input, so that a bucket or shard stays a bounded part
-    of one task's memory as the input grows.
-    """
-    return n or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def groups(docs: DataFrame, text_col: str = "text", n: int | None = None) -> int:
+    """Number of document buckets and of key shards: the texts' bytes over the bytes of a bucket, whatever the input's
+    size or the session's partitions. Buckets send shards only what they hold, so rows between them stay fewer than
+    the keys."""
+    if n is None:
+        total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+        n = max(8, -(-total // BUCKET_BYTES))
+    return n
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
@@ -62,13 +67,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a compressed table beside the checkpoints, of which later steps read single columns."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """stored() and the table's folder, for removed()."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoints(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder, compression="zstd")
     _gone_at_end(spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a compressed table beside the checkpoints, of which later steps read single columns. The
+    planner sees the table's own size, not an estimate over all that went before."""
+    return stored_at(df)[0]
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a stored table that no later step reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:

@@ -245,7 +245,7 @@ def link_groups(sets: DataFrame, grouped: DataFrame, percent: int, tile_size: in
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, tile_size: int = 1000, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least percent similarity."""
-    n = groups(docs.sparkSession, n)
+    n = groups(docs, text_col, n)
     dealt = keyed(docs, n, id_col, text_col)
     shared = frequencies(local_frequencies(dealt, size, n))
     rows = cut(ordered_sets(dealt, shared, size, percent, n))

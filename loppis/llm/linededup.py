@@ -1,12 +1,14 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference-count tables.
 
 A line's key is the line stripped of white space with A-Z lower-cased. The index counts in how many documents each
-key occurs, in tables dealt to shards by the key's hash; a cuckoo filter beside each table answers most lookups of
-unknown keys without it. Filters support deletion, counts go down as well as up, so documents can leave the index
-again and lines come back when their key is no longer frequent.
+key occurs, in tables dealt to shards by the key's hash. A cuckoo filter beside each table holds the keys that have
+reached `min_docs` documents: most lines are turned away by the filter, the table's exact count decides on the rest.
+Inserted documents raise counts and put keys into the filter as they reach min_docs; deleted ones lower counts and
+take keys out of it again, so lines come back when they are no longer frequent.
 
-Data moves in packed form: documents are dealt to buckets, a bucket counts its own keys first and sends each shard
-one row. A key found in a third of all documents thus reaches its shard once for each bucket.
+An index knows its number of shards and its min_docs, and works with no others. Data moves in packed form: documents
+are dealt to buckets, a bucket counts its own keys first and sends each shard one row. A key found in a third of all
+documents thus reaches its shard once for each bucket.
 
 Nulls: a null text is one empty line; empty lines have no key and always stay. Each row is a document, so repeated
 rows count repeatedly. An empty table gives an empty result. Further columns are ignored.
@@ -161,7 +163,7 @@ class Cuckoo:
         return (self.table[first] == mark[:, None]).any(1) | (self.table[second] == mark[:, None]).any(1)
 
 
-STATE = "shard int, keys binary, counts binary, filter binary"
+STATE = "shard int, shards int, min_docs int, keys binary, counts binary, filter binary"
 LOCAL = "shard int, bucket int, keys binary, counts binary"
 
 
@@ -187,68 +189,76 @@ def local_counts(docs: DataFrame, shards: int, min_chars: int = 1) -> DataFrame:
     return docs.groupBy("bucket").applyInArrow(run, LOCAL)
 
 
-def _state(shard: int, table: Keys, cuckoo: Cuckoo) -> pa.Table:
+def _merged(parts: pa.Table) -> Keys:
+    return Keys.merge([Keys.unpack(k, c) for k, c in zip(parts.column("keys").to_pylist(), parts.column("counts").to_pylist(), strict=True)])
+
+
+def _changed(shard: int, shards: int, min_docs: int, had: Keys, cuckoo: Cuckoo, change: Keys, sign: int) -> pa.Table:
+    """The shard's row after documents came (sign 1) or went (-1): only keys that cross min_docs touch its filter, which
+    is made anew when it is too full for them."""
+    before = had.counts_of(change.hi, change.lo)
+    after = before + sign * change.count
+    table = Keys.merge([had, Keys(change.hi, change.lo, sign * change.count)])
+    cuckoo.drop(change.hi[(before >= min_docs) & (after < min_docs)])
+    enter = change.hi[(before < min_docs) & (after >= min_docs)]
+    often = int((table.count >= min_docs).sum())
+    if often > 0.9 * cuckoo.table.size or not cuckoo.add(enter):
+        cuckoo = Cuckoo.holding(table.hi[table.count >= min_docs])
     keys, counts = table.pack()
-    return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([keys], pa.binary()), "counts": pa.array([counts], pa.binary()), "filter": pa.array([cuckoo.dump()], pa.binary())})
+    values = {"shard": shard, "shards": shards, "min_docs": min_docs, "keys": keys, "counts": counts, "filter": cuckoo.dump()}
+    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int32()) for k, v in values.items()})
 
 
-def build(local: DataFrame) -> DataFrame:
-    """An index from nothing: one row a shard."""
+def build(local: DataFrame, shards: int, min_docs: int = 10) -> DataFrame:
+    """An index from nothing: one row a shard, all documents inserted into an empty one."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [Keys.unpack(k, c) for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
-        table = Keys.merge(parts)
-        return _state(t.column("shard")[0].as_py(), table, Cuckoo.holding(table.hi))
+        return _changed(t.column("shard")[0].as_py(), shards, min_docs, Keys.merge([]), Cuckoo.sized(0), _merged(t), 1)
 
     return local.groupBy("shard").applyInArrow(run, STATE)
 
 
-def update(state: DataFrame, local: DataFrame, sign: int = 1) -> DataFrame:
-    """The index with the counted documents inserted (sign 1) or deleted (-1).
+def shape(state: DataFrame) -> tuple[int, int] | None:
+    """(shards, min_docs) of an index, None if it is empty; no index mixes them."""
+    found = state.select("shards", "min_docs").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the index mixes numbers of shards or thresholds")
+    return (found[0].shards, found[0].min_docs) if found else None
 
-    Only keys that enter or leave the table touch its filter; it is made anew when it is too full for them.
-    """
+
+def update(state: DataFrame, docs: DataFrame, sign: int = 1, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A filled index with the documents inserted (sign 1) or deleted (-1)."""
+    made = shape(state)
+    if made is None:
+        raise ValueError("the index is empty: build one")
+    shards, min_docs = made
+    local = local_counts(keyed(docs, groups(docs, text_col), id_col, text_col), shards, min_chars)
 
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
-        shard = (old if len(old) else new).column("shard")[0].as_py()
-        if len(old):
-            had = Keys.unpack(old.column("keys")[0].as_py(), old.column("counts")[0].as_py())
-            cuckoo = Cuckoo.load(old.column("filter")[0].as_py())
-        else:
-            had, cuckoo = Keys.merge([]), Cuckoo.sized(0)
-        parts = [Keys.unpack(k, c) for k, c in zip(new.column("keys").to_pylist(), new.column("counts").to_pylist(), strict=True)]
-        change = Keys.merge(parts)
-        known = cuckoo.has(change.hi)  # a key that the filter does not know needs no lookup
-        before = np.zeros(len(change.hi), np.int64)
-        before[known] = had.counts_of(change.hi[known], change.lo[known])
-        table = Keys.merge([had, Keys(change.hi, change.lo, sign * change.count)])
-        enter, leave = change.hi[before == 0] if sign > 0 else change.hi[:0], change.hi[(before > 0) & (before <= change.count)] if sign < 0 else change.hi[:0]
-        cuckoo.drop(leave)
-        if len(table.hi) > 0.9 * cuckoo.table.size or not cuckoo.add(enter):
-            cuckoo = Cuckoo.holding(table.hi)
-        return _state(shard, table, cuckoo)
+        if not len(new):
+            return old
+        shard = new.column("shard")[0].as_py()
+        cuckoo = Cuckoo.load(old.column("filter")[0].as_py()) if len(old) else Cuckoo.sized(0)
+        return _changed(shard, shards, min_docs, _merged(old), cuckoo, _merged(new), sign)
 
     return state.groupBy("shard").cogroup(local.groupBy("shard")).applyInArrow(run, STATE)
 
 
-def frequent(local: DataFrame, state: DataFrame, min_docs: int = 10) -> DataFrame:
-    """(bucket, keys): the keys of each bucket that the index has in at least min_docs documents.
+def frequent(local: DataFrame, state: DataFrame) -> DataFrame:
+    """(bucket, keys): the keys of each bucket that the index has in at least its min_docs documents.
 
-    The shard's filter, narrowed to the frequent keys, turns most of the bucket's keys away; the exact counts
-    decide on the rest.
+    The shard's filter turns most of the bucket's keys away; the exact counts decide on the rest.
     """
 
     def run(asked: pa.Table, index: pa.Table) -> pa.Table:
         buckets, hits = [], []
         if len(asked) and len(index):
-            table = Keys.unpack(index.column("keys")[0].as_py(), index.column("counts")[0].as_py())
-            often = table.count >= min_docs
-            table = Keys(table.hi[often], table.lo[often], table.count[often])
-            cuckoo = Cuckoo.holding(table.hi)
+            table, cuckoo = _merged(index), Cuckoo.load(index.column("filter")[0].as_py())
+            least = index.column("min_docs")[0].as_py()
             for b, k in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist(), strict=True):
                 own = Keys.unpack(k)
-                maybe = np.flatnonzero(cuckoo.has(own.hi)) if len(table.hi) else np.empty(0, np.int64)
-                sure = maybe[table.counts_of(own.hi[maybe], own.lo[maybe]) >= min_docs]
+                maybe = np.flatnonzero(cuckoo.has(own.hi))
+                sure = maybe[table.counts_of(own.hi[maybe], own.lo[maybe]) >= least]
                 if len(sure):
                     buckets.append(b)
                     hits.append(Keys(own.hi[sure], own.lo[sure], own.count[sure]).pack()[0])
@@ -287,23 +297,26 @@ def drop_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n: int | None = None, id_col: str = "doc_id", text_col: str = "text", state: DataFrame | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept of every document, against an index of these documents or a given one.
 
-    A given index must have been built with the same number of shards.
+    A given index brings its own number of shards and its min_docs.
     """
-    n = groups(docs.sparkSession, n)
+    n = groups(docs, text_col, n)
     dealt = keyed(docs, n, id_col, text_col)
-    local = local_counts(dealt, n, min_chars)
-    return drop_lines(dealt, frequent(local, build(local) if state is None else state, min_docs))
+    if state is None:
+        local = local_counts(dealt, n, min_chars)
+        return drop_lines(dealt, frequent(local, build(local, n, min_docs)))
+    shards, _ = shape(state) or (n, min_docs)
+    return drop_lines(dealt, frequent(local_counts(dealt, shards, min_chars), state))
 
 
 def cleaned(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the frequent lines gone from their texts, other columns unchanged."""
-    n = groups(docs.sparkSession, n)
+    n = groups(docs, text_col, n)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     dealt = keyed(docs, n, id_col, text_col, rest)
     local = local_counts(dealt.drop("carried"), n, min_chars)
-    done = drop_lines(dealt, frequent(local, build(local), min_docs))
+    done = drop_lines(dealt, frequent(local, build(local, n, min_docs)))
     place = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("kept").alias(text_col)}
-    return done.select(*[place[c] if c in place else F.col(f"carried.{c}").alias(c) for c in docs.columns])
+    return done.select(*[place[c] if c in place else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def digests(done: DataFrame) -> DataFrame:

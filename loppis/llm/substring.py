@@ -210,7 +210,7 @@ def _remove(docs: DataFrame, found: DataFrame, width: int, n: int) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 35, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept: words without those in windows of `width` words that occur again anywhere."""
-    n = groups(docs.sparkSession, n)
+    n = groups(docs, text_col, n)
     block = (width + 1) // 2
     dealt = keyed(docs, n, id_col, text_col)
     live = anchors(probes(dealt, block, n))
