@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import WORD, sha
 # --- fixed patterns -------------------------------------------------------------------------------------------------
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a match cannot start inside a run of digits: the run's start would match as well
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -42,10 +43,11 @@ def emails(text: str) -> list[Span]:
     out: list[Span] = []
     done = at = 0
     while (m := DOMAIN.search(text, at)) is not None:
-        before = text[done : m.start()]
-        local = len(before) - len(before.rstrip(LOCAL))
-        if local:
-            out.append((m.start() - local, m.end()))
+        start = m.start()
+        while start > done and text[start - 1] in LOCAL:  # no further than the last @, which is no local character
+            start -= 1
+        if start < m.start():
+            out.append((start, m.end()))
             done = at = m.end()
         else:
             at = m.start() + 1
@@ -82,6 +84,15 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 LABELS = ("O", "B-person", "I-person", "B-number", "I-number", "B-contact", "I-contact")
 KINDS = ("person", "number", "contact")
+BEGINS = [i for i, x in enumerate(LABELS) if x[0] == "B"]
+INSIDES = [i for i, x in enumerate(LABELS) if x[0] == "I"]
+#: Common given names, which a name may begin with where nothing announces it.
+GIVEN = (
+    "Anna Peter Maria Juan Sophie Luca Hans Claire Miguel Ingrid Paul Elena John Mary James Linda Robert Susan Michael Karen David Nancy William Lisa Richard Sarah Thomas Emma "
+    "Daniel Laura Mark Julia George Alice Kevin Helen Brian Ruth Edward Jane Wolfgang Ursula Klaus Sabine Jürgen Monika Stefan Petra Andreas Heike Martin Birgit Uwe Katrin Dieter "
+    "Renate Pierre Marie Jean Isabelle Michel Nathalie Philippe Camille Jacques Amélie François Chloé José Carmen Antonio Isabel Manuel Lucía Francisco Pilar Javier Sofía Carlos "
+    "Marta Diego Rosa Pablo Teresa Lars Karin Erik Astrid Marco Giulia Giovanni Francesca Ivan Olga Dmitri Natasha Ahmed Fatima Ali Leila Wei Yuki Hiroshi Priya Ravi Amir"
+).split()
 #: Fixed words that announce personal data, in four languages, by what they announce.
 CUES = {
     "title": "mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme don doña",
@@ -93,6 +104,7 @@ CUES = {
     "at": "at (at) [at] arroba",
     "dot": "dot (dot) [dot] punkt punto point",
     "zone": "com org net de es fr info",
+    "given": " ".join(GIVEN).lower(),
 }
 CUE_OF = {w: i + 1 for i, words in enumerate(CUES.values()) for w in words.split()}
 EDGES = ".,;:!?()[]{}\"'*#$%&|<>«»“”"
@@ -103,7 +115,7 @@ def shape(word: str) -> str:
     letter runs two."""
     out: list[str] = []
     last, run = "", 0
-    for c in word[:40]:
+    for c in word:
         k = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         run = run + 1 if k == last else 1
         last = k
@@ -143,16 +155,29 @@ class Crf:
     """Linear-chain CRF: weights of the word's own, previous two and next types, and of label transitions."""
 
     PLACES = (0, -1, -2, 1)
-    REACH = 8
 
     def __init__(self, features: Features, own: np.ndarray, trans: np.ndarray):
         """own: places x types x labels, already summed over a type's shape and cue; trans: labels x labels."""
         self.features, self.own, self.trans = features, own, trans
-        # best paths of 1, 2, ... words from "other" through other labels back to it, against staying at "other"
-        way, self.lift = trans[0, 1:], 0.0
+        allowed = np.where(t_forbidden(), -np.inf, trans)
+        at_most, plain = float(allowed.max()), float(trans[0, 0])
+        #: Most that a word gains over "other" from one transition; most that paths through m other labels gain a word
+        #: over m words of "other", between two of those or at an end of the line.
+        self.lift = at_most - plain
+        inner = np.zeros(len(LABELS) - 1)
+        through, least = allowed[1:, 1:], self.lift
+        start, back = allowed[0, 1:], allowed[1:, 0]
+        ways = [start, inner]
         for m in range(1, 65):
-            self.lift = max(self.lift, float((way + trans[1:, 0]).max() - (m + 1) * trans[0, 0]) / m)
-            way = (way[:, None] + trans[1:, 1:]).max(0)
+            between, opening = ways
+            gains = [(between + back).max() - (m + 1) * plain, between.max() - m * plain, (opening + back).max() - m * plain, opening.max() - (m - 1) * plain]
+            least = max(least, float(max(gains)) / m)
+            ways = [(w[:, None] + through).max(0) for w in ways]
+        self.anchor = least
+        #: Most that transitions lose where a run of other labels is ended early, or begun late.
+        self.end_loss = at_most - float(back.min())
+        begins = allowed[[[b] for b in BEGINS], :]
+        self.begin_loss = 2 * at_most - float(allowed[0, BEGINS].min()) - float(begins[np.isfinite(begins)].min())
 
     def emissions(self, types: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores of each word and label in a run of lines; first marks where lines start (types of no word: -1)."""
@@ -173,9 +198,12 @@ class Crf:
     def decode(self, types: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Best labels of lines laid end to end, by Viterbi over blocks of stretches of similar length.
 
-        An entity gains at most `lift` a word over "other" from its transitions, so it holds a word whose score for
-        another label comes that close to the score of "other". Only stretches of REACH words around such words
-        are decoded, with "other" on both sides; all further words are "other".
+        Only stretches that may hold other labels are decoded, with "other" on both sides, which loses nothing. A run
+        of other labels holds an anchor: a word whose score for one of them comes within `anchor` of "other". The words
+        after its last anchor are in it only while their worth (by how much the score of a label other than "other" and
+        `lift` exceed that of "other") adds up to -`end_loss` or more, or else ending it before them scores better; the
+        words before an anchor only while theirs adds up to -`begin_loss` less what the anchor loses as a beginning.
+        Stretches reach one word further, so where two of them do not meet, "other" stands between.
         """
         labels = np.zeros(len(types), np.int8)
         if not len(types):
@@ -185,13 +213,18 @@ class Crf:
         first = np.zeros(len(types), np.int64)
         first[starts[sizes > 0]] = 1
         score = self.emissions(types, first)
-        seeds = np.flatnonzero(score[:, 1:].max(1) - score[:, 0] >= -self.lift)
-        if not len(seeds):
+        gap = score[:, 1:].max(1) - score[:, 0]
+        anchors = np.flatnonzero(gap >= -self.anchor)
+        if not len(anchors):
             return labels
-        line_start, line_end = starts[line_of[seeds]], starts[line_of[seeds]] + sizes[line_of[seeds]]
+        fall = np.cumsum(np.where(gap >= -self.anchor, 0.0, -(gap + self.lift)), dtype=np.float64)  # rises at every other word
+        loss = np.maximum((score[anchors][:, INSIDES] - score[anchors][:, BEGINS]).max(1), 0) + self.begin_loss
+        line_start, line_end = starts[line_of[anchors]], starts[line_of[anchors]] + sizes[line_of[anchors]]
+        right = np.searchsorted(fall, fall[anchors] + self.end_loss, "right") + 1
+        left = np.searchsorted(fall, np.where(anchors > 0, fall[anchors - 1], 0.0) - loss, "left")
         edge = np.zeros(len(types) + 1, np.int64)
-        np.add.at(edge, np.maximum(seeds - self.REACH, line_start), 1)
-        np.subtract.at(edge, np.minimum(seeds + self.REACH + 1, line_end), 1)
+        np.add.at(edge, np.maximum(left, line_start), 1)
+        np.subtract.at(edge, np.minimum(right, line_end), 1)
         near = np.cumsum(edge[:-1]) > 0
         begin = np.flatnonzero(near & np.r_[True, ~near[:-1] | (line_of[1:] != line_of[:-1])])
         last = np.flatnonzero(near & np.r_[~near[1:] | (line_of[1:] != line_of[:-1]), True])
@@ -231,12 +264,13 @@ class Crf:
 
 #: Bound of the labelled table.
 MAX_TOKENS = 40_000
-GIVEN = "Anna Peter Maria Juan Sophie Luca Hans Claire Miguel Ingrid Paul Elena".split()
-FAMILY = "Miller Schmidt García Dubois Rossi Jensen López Bernard Wagner Smith Moreau Keller".split()
+FAMILY = "Miller Schmidt García Dubois Rossi Jensen López Bernard Wagner Smith Moreau Keller Carter O'Brien Müller-Lüdenscheidt Mozart Nguyen Fernández McDonald Lefèvre".split()
+PARTICLES = "von de van der la del di le zu dos".split()
 SYLLABLES = "an er on th re en ti es ing ou sch keit lich eau oi que ado mente ción ra".split()
 DOMAINS = "example mail post home".split()
 #: Labelled templates: {name} and so on are filled, other words are "other". The text before a slot may announce it.
 TEMPLATES = (
+    "My name is {name} {w} {w} {w}", "{full} {w} {w} {w}", "{w} {w} {full} {w}", "{w} {w}. {full} , {w} {w}",
     "{w} {w} Mr. {name} {w} {w}", "{w} Frau {name} , {w} {w} {w}", "Señora {name} {w} {w}", "{w} {w} Mme {name} {w}",
     "Name: {name}", "Kontakt: {name} , Tel. {tel}", "{w} Dr. {name} {w} {w} {w}", "Dear {name} , {w} {w}",
     "{w} {w} Tel. {tel} {w}", "Phone: {tel}", "{w} {w} call {tel} {w} {w}", "{w} {w} {w} {tel} {w} {w}", "Teléfono {tel} {w} {w}",
@@ -258,7 +292,11 @@ def labelled_rows(seed: int, each: int) -> list[tuple[list[str], list[str]]]:
 
     def fill(slot: str) -> tuple[str, str]:
         if slot == "name":
-            return "person", f"{r.choice(GIVEN)} {r.choice(FAMILY)}" if r.random() < 0.7 else r.choice(FAMILY)
+            given = " ".join(r.sample(GIVEN, r.choice([1, 1, 1, 2, 3])))
+            family = f"{r.choice(PARTICLES)} {r.choice(FAMILY)}" if r.random() < 0.15 else r.choice(FAMILY)
+            return "person", f"{given} {family}" if r.random() < 0.7 else r.choice(FAMILY)
+        if slot == "full":
+            return "person", f"{r.choice(GIVEN)} {r.choice([r.choice(FAMILY), word().capitalize(), r.choice(PARTICLES) + ' ' + r.choice(FAMILY)])}"
         if slot == "tel":
             return "number", r.choice(["({a}) {b}-{c}", "{a}-{b}-{c}", "0{a} {d}", "0{b} / {d}", "{a} {b} {c}", "0{a}-{d}"]).format(a=digits(3), b=digits(3), c=digits(4), d=digits(6))
         if slot == "digits":
@@ -269,7 +307,8 @@ def labelled_rows(seed: int, each: int) -> list[tuple[list[str], list[str]]]:
             return "number", f"{r.choice(['DE', 'FR', 'ES'])}{digits(2)} " + " ".join(digits(4) for _ in range(5))
         if slot == "mail":
             at, dot = r.choice([("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")])
-            return "contact", f"{word()} {at} {r.choice(DOMAINS)} {dot} {r.choice(['com', 'org', 'net', 'de'])}"
+            local = f"{word()} {dot} {word()}" if r.random() < 0.3 else word()
+            return "contact", f"{local} {at} {r.choice(DOMAINS)} {dot} {r.choice(['com', 'org', 'net', 'de'])}"
         plain = {
             "w": word(),
             "W": word().capitalize(),
@@ -303,6 +342,12 @@ def labelled_rows(seed: int, each: int) -> list[tuple[list[str], list[str]]]:
     return rows
 
 
+@cache
+def trained(seed: int, each: int) -> Crf:
+    """The model of the labelled table with that seed, trained once in a driver's life."""
+    return train(labelled_rows(seed, each))
+
+
 def train(rows: list[tuple[list[str], list[str]]], steps: int = 120, ridge: float = 0.01) -> Crf:
     """Maximum likelihood with a ridge penalty, by Adam over the whole table."""
     if sum(len(w) for w, _ in rows) > MAX_TOKENS:
@@ -447,7 +492,7 @@ def scan(docs: DataFrame, seed: int = 7, each: int = 40, id_col: str = "doc_id",
 
     The model's spans that overlap a fixed pattern's are left out; the patterns' spans always stay.
     """
-    crf = docs.sparkSession.sparkContext.broadcast(train(labelled_rows(seed, each)))
+    crf = docs.sparkSession.sparkContext.broadcast(trained(seed, each))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     counts = [f"n_{k}" for k in (*BASE_KINDS, *KINDS)]
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string"
