@@ -2,17 +2,21 @@
 
 Each text gets counts; shares of them are transformed to a vector. For each language and source the minimum
 covariance determinant (MCD) estimate of centre and scatter is found by concentration steps over all rows: a step
-bins every row's distance, sums moments by group and bin, and refits on the closest rows. A document is rejected if
-its robust Mahalanobis distance is beyond the cutoff of its group, or if it fails the base rules. Groups of fewer
-than `least_rows` documents use their language's estimate, small languages the estimate of all.
+bins every row's distance, sums moments by group and bin, and refits on the closest rows. The steps begin at four
+deterministic starts (as in DetMCD: Hubert, Rousseeuw and Verdonck, 2012), and go on from the one whose scatter has the
+smallest determinant. A document is rejected if its robust Mahalanobis distance is beyond the cutoff of its group, or
+if it fails the base rules. Groups of fewer than `least_rows` documents use their language's estimate, small languages
+the estimate of all; each row is reported with the level that judged it.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are values of their own. Ties
-and repeated rows each get a verdict. An empty table gives an empty result. Further columns stay as they are.
+and repeated rows each get a verdict. An empty table gives an empty result. Further columns stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,9 +95,10 @@ def _counted(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(COUNTS))
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", into: str = "_q") -> DataFrame:
+def counted(text: Column) -> Column:
+    """Struct of the counts of a text."""
     # "nondeterministic" keeps the planner from counting once for the filter and again for the columns
-    return docs.withColumn(into, F.arrow_udf(_counted, f"struct<{STRUCT}>").asNondeterministic()(F.col(text_col)))
+    return F.arrow_udf(_counted, f"struct<{STRUCT}>").asNondeterministic()(text)
 
 
 def base_failed(q: str = "_q") -> Column:
@@ -138,27 +143,40 @@ def chi2_quantile(p: float, k: int) -> float:
 
 #: Distances are binned by their logarithm, so many bins to a unit.
 BINS = 16
-PARAMS = "level string, n long, mu array<double>, inv array<double>"
+PARAMS = "level string, start int, n long, logdet double, mu array<double>, inv array<double>"
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
 def _squared(x: str, mu: str, inv: str) -> Column:
     """Squared Mahalanobis distance of array column x."""
     d = [F.col(x)[i] - F.col(mu)[i] for i in range(DIMS)]
     total = F.lit(0.0)
-    for i in range(DIMS):
-        for j in range(i, DIMS):
-            total = total + F.col(inv)[i * DIMS + j] * d[i] * d[j] * (1.0 if i == j else 2.0)
+    for i, j in PAIRS:
+        total = total + F.col(inv)[i * DIMS + j] * d[i] * d[j] * (1.0 if i == j else 2.0)
     return total
 
 
-def _param_row(level: str, n: int, mu: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+def _param_row(level: str, start: int, n: int, mu: np.ndarray, cov: np.ndarray) -> dict:
     cov = cov + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
     inv = np.round(np.linalg.inv(cov), 9)
-    return pd.DataFrame({"level": [level], "n": [n], "mu": [np.round(mu, 9).tolist()], "inv": [inv.ravel().tolist()]})
+    return {"level": level, "start": start, "n": n, "logdet": round(float(np.linalg.slogdet(cov)[1]), 6), "mu": np.round(mu, 9).tolist(), "inv": inv.ravel().tolist()}
+
+
+def _moments(x: Callable[[int], Column]) -> list[Column]:
+    """Sums of the parts of a vector (s0, ...) and of their products (s0_0, ...)."""
+    return [F.sum(x(i)).alias(f"s{i}") for i in range(DIMS)] + [F.sum(x(i) * x(j)).alias(f"s{i}_{j}") for i, j in PAIRS]
+
+
+def _mean_cov(sums: dict, m: float, prefix: str = "s") -> tuple[np.ndarray, np.ndarray]:
+    mu = np.array([sums[f"{prefix}{i}"] for i in range(DIMS)], float) / m
+    cov = np.zeros((DIMS, DIMS))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = sums[f"{prefix}{i}_{j}"] / m - mu[i] * mu[j]
+    return mu, cov
 
 
 def _beside(rows: DataFrame, params: DataFrame, small: bool, salts: int = 64) -> DataFrame:
-    """Rows with the estimate of their level: broadcast if the levels were counted to be few, else dealt over salts,
+    """Rows with the estimates of their level: broadcast if the levels were counted to be few, else dealt over salts,
     as the level of all documents holds a third of the rows. The rows are a cut table, so their salts are stable."""
     if small:
         return rows.join(F.broadcast(params), "level")
@@ -167,85 +185,121 @@ def _beside(rows: DataFrame, params: DataFrame, small: bool, salts: int = 64) ->
     return dealt.join(copies, ["level", "salt"]).drop("salt")
 
 
-def fit(rows: DataFrame, keep: float = 0.75, steps: int = 5, broadcast_rows: int = 10_000) -> DataFrame:
-    """MCD estimates (level, n, mu, inv) from rows (level, x), every row counted in every step.
-
-    Starts from coordinatewise medians and quartile ranges. A step keeps the whole bins of distance that the closest
-    `keep` of the group's rows reach into. The scatter is scaled to be consistent for normal data.
-    """
-    share = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
+def starts(rows: DataFrame, small: bool) -> DataFrame:
+    """Four first estimates of each level: coordinatewise medians and quartile ranges; about these the correlation of
+    the hyperbolic tangents and the spatial sign covariance of the standardised vectors; and mean and covariance."""
     quart = [F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(DIMS)]
+    quart = rows.groupBy("level").agg(*quart)
+    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOORS[i] / 10)) for i in range(DIMS)]
+    quart = quart.select("level", F.array(*[F.col(f"p{i}")[1] for i in range(DIMS)]).alias("middle"), F.array(*spread).alias("spread"))
+    z = _beside(rows, quart, small).withColumn("z", F.array(*[(F.col("x")[i] - F.col("middle")[i]) / F.col("spread")[i] for i in range(DIMS)]))
+    z = z.withColumn("norm", F.greatest(F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(DIMS)), F.lit(0.0))), F.lit(1e-9)))
+    sums = [
+        *_moments(lambda i: F.col("x")[i]),
+        *[c.alias(f"t{n}") for c, n in zip(_moments(lambda i: F.tanh(F.col("z")[i])), _names(), strict=True)],
+        *[c.alias(f"u{n}") for c, n in zip(_moments(lambda i: F.col("z")[i] / F.col("norm")), _names(), strict=True)],
+    ]
+    summed = z.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.first("middle").alias("middle"), F.first("spread").alias("spread"), *sums)
 
-    def start(batches):
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                p = np.round(np.array([getattr(r, f"p{i}") for i in range(DIMS)], float), 3)
-                yield _param_row(r.level, int(r.n), p[:, 1], np.diag(np.square((p[:, 2] - p[:, 0]) / 1.349)))
+            made = []
+            for r in b.to_dict("records"):
+                n, middle, d = int(r["n"]), np.array(r["middle"], float), np.diag(np.array(r["spread"], float))
+                tanh = _mean_cov(r, n, "t")[1] + np.eye(DIMS) * 1e-6
+                root = np.diag(1 / np.sqrt(np.diag(tanh)))
+                mean_u, cov_u = _mean_cov(r, n, "u")
+                sign = DIMS * (cov_u + np.outer(mean_u, mean_u)) + np.eye(DIMS) * 1e-6
+                for k, (mu, cov) in enumerate([(middle, d @ d), (middle, d @ root @ tanh @ root @ d), (middle, d @ sign @ d), _mean_cov(r, n)]):
+                    made.append(_param_row(r["level"], k, n, mu, cov))
+            yield pd.DataFrame(made, columns=["level", "start", "n", "logdet", "mu", "inv"])
+
+    return summed.mapInPandas(begin, PARAMS)
+
 
-    params = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *quart).mapInPandas(start, PARAMS)
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)]
-    sums += [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]
+def _names() -> list[str]:
+    return [*map(str, range(DIMS)), *(f"{i}_{j}" for i, j in PAIRS)]
+
+
+def concentrate(rows: DataFrame, params: DataFrame, keep: float, small: bool) -> DataFrame:
+    """One concentration step of every level and start over all rows: the estimates from the whole bins of distance
+    that the closest `keep` of the level's rows reach into, scaled to be consistent for normal data."""
+    share = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
+    binned = _beside(rows, params.select("level", "start", "mu", "inv"), small).withColumn("bin", F.floor(F.log(_squared("x", "mu", "inv") + 1e-6) * BINS).cast("int"))
+    moments = binned.groupBy("level", "start", "bin").agg(F.count(F.lit(1)).alias("m"), *_moments(lambda i: F.col("x")[i]))
 
     def refit(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("bin")
         n = int(t["m"].sum())
         reach = int(np.searchsorted(t["m"].cumsum().to_numpy(), keep * n)) + 1
-        t = t.iloc[:reach]
-        m = t["m"].sum()
-        mu = np.array([t[f"s{i}"].sum() for i in range(DIMS)]) / m
-        cov = np.zeros((DIMS, DIMS))
-        for i in range(DIMS):
-            for j in range(i, DIMS):
-                cov[i, j] = cov[j, i] = t[f"s{i}_{j}"].sum() / m - mu[i] * mu[j]
-        return _param_row(t["level"].iloc[0], n, mu, cov * share)
+        near = t.iloc[:reach].sum(numeric_only=True).to_dict()
+        mu, cov = _mean_cov(near, near["m"])
+        return pd.DataFrame([_param_row(t["level"].iloc[0], int(t["start"].iloc[0]), n, mu, cov * share)])
+
+    return moments.groupBy("level", "start").applyInPandas(refit, PARAMS)
+
 
+def fit(rows: DataFrame, keep: float = 0.75, first: int = 2, steps: int = 4, broadcast_rows: int = 10_000) -> DataFrame:
+    """MCD estimates (level, start, n, logdet, mu, inv) from cut rows (level, x), every row counted in every step.
+
+    All starts take `first` steps, the one of the smallest determinant takes `steps` more.
+    """
     small = rows.select("level").distinct().count() <= broadcast_rows
+    params = starts(rows, small)
+    for _ in range(first):
+        params = concentrate(rows, params, keep, small)
+    best = params.groupBy("level").agg(F.min(F.struct("logdet", "start", "n", "mu", "inv")).alias("b"))
+    params = cut(best.select("level", "b.start", "b.n", "b.logdet", "b.mu", "b.inv"))
     for _ in range(steps):
-        binned = _beside(rows, params.drop("n"), small).withColumn("bin", F.floor(F.log(_squared("x", "mu", "inv") + 1e-6) * BINS).cast("int"))
-        moments = binned.groupBy("level", "bin").agg(F.count(F.lit(1)).alias("m"), *sums)
-        params = moments.groupBy("level").applyInPandas(refit, PARAMS)
+        params = concentrate(rows, params, keep, small)
     return params
 
 
-def _levels(lang_col: str, source_col: str) -> list[Column]:
+def _levels() -> list[Column]:
     """Names of a row's groups, from fine to coarse."""
-    lang = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("-"))
-    source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     return [F.concat(lang, F.lit("\x1f"), source), lang, F.lit("")]
 
 
-def estimate(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """MCD estimates of all levels from counted documents that pass the base rules."""
-    x = cut(counted.filter(~base_failed()).select(F.array(*vector()).alias("x"), F.array(*_levels(lang_col, source_col)).alias("levels")))
+LEVELS = ("source", "lang", "all")
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """MCD estimates of all levels from rows (lang, source, _q) that pass the base rules."""
+    x = cut(rows.filter(~base_failed()).select(F.array(*vector()).alias("x"), F.array(*_levels()).alias("levels")))
     return fit(x.select("x", F.explode("levels").alias("level")))
 
 
-def judge(counted: DataFrame, params: DataFrame, least_rows: int = 100, certainty: float = 0.9999, lang_col: str = "lang", source_col: str = "source", broadcast_rows: int = 10_000) -> DataFrame:
-    """The counted documents with base_failed, distance (null without an estimate) and kept."""
+def judge(rows: DataFrame, params: DataFrame, least_rows: int = 100, certainty: float = 0.9999, broadcast_rows: int = 10_000) -> DataFrame:
+    """Rows (lang, source, _q and further ones) with base_failed, distance and level (null without an estimate), kept."""
     cutoff = chi2_quantile(certainty, DIMS)
     params = cut(params)
     # broadcast only after a look at its size; more groups than that are joined
     small = params.count() <= broadcast_rows
-    out = counted
-    for i, level in enumerate(_levels(lang_col, source_col)):
+    out = rows
+    for i, level in enumerate(_levels()):
         own = params.filter(F.col("n") >= least_rows) if i < 2 else params
         p = own.select(F.col("level").alias(f"_l{i}"), F.col("mu").alias(f"_m{i}"), F.col("inv").alias(f"_i{i}"))
         out = out.join(F.broadcast(p) if small or i == 2 else p, level == F.col(f"_l{i}"), "left")
     mu, inv = (F.coalesce(*[F.col(f"_{c}{i}") for i in range(3)]) for c in "mi")
-    out = out.withColumn("_x", F.array(*vector())).withColumn("_mu", mu).withColumn("_inv", inv)
+    level = F.coalesce(*[F.when(F.col(f"_l{i}").isNotNull(), F.lit(x)) for i, x in enumerate(LEVELS)])
+    out = out.withColumn("_x", F.array(*vector())).withColumn("_mu", mu).withColumn("_inv", inv).withColumn("level", level)
     out = out.withColumn("base_failed", base_failed()).withColumn("distance", _squared("_x", "_mu", "_inv"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
     return out.drop("_x", "_mu", "_inv", *[f"_{c}{i}" for i in range(3) for c in "lmi"])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the squared distance."""
-    counted = cut(with_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).drop("text"))
-    done = judge(counted, estimate(counted))
-    return done.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in COUNTS[:5]], "base_failed", "kept", F.round("distance", 3).alias("distance"))
+    """doc_id, the base counts, base_failed, kept, the squared distance and the level whose estimate judged the row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("_q"))
+    rows = cut(rows)
+    done = judge(rows, estimate(rows))
+    return done.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in COUNTS[:5]], "base_failed", "kept", F.round("distance", 3).alias("distance"), "level")
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with their columns."""
-    counted = with_counts(docs, text_col)
-    return judge(counted, estimate(counted.drop(text_col), lang_col, source_col), lang_col=lang_col, source_col=source_col).filter("kept").select(*docs.columns)
+    """The documents that are kept, with their columns. Texts are counted once, and the rows stored with their counts."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = cut(docs.select(whole, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("_q")))
+    return judge(rows, estimate(rows)).filter("kept").select("_row.*")
