@@ -7,8 +7,10 @@ documents that share prefix shingles are stored in a prefix tree, which is trave
 set kept along the path: sets that share a path share the counting, and a subtree is left as soon as the remaining
 length cannot lift any set to the threshold.
 
-Identical sets are one set with members; copies are never expanded into pairs. A large group is split into tiles of
-bounded size, each pair of which meets once.
+Identical sets are one set with members; copies are never expanded into pairs. A large group is dealt to tiles of
+bounded size. First each tile meets itself and a few pivots of the group, which joins clusters of near copies at a cost
+in proportion to the group. Then only the sets that are still outside of the group's largest component meet the other
+tiles. So no link that joins two components is lost; links inside one are not all listed.
 
 Nulls: a null or wordless text has an empty set, linked with nothing. A text of fewer words than a shingle has one
 shingle, its whole word sequence. Repeated rows share a set. Null ids are ignored by the smallest id of a component,
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, groups, keyed, pack32, rolling, split_sorted, unpack32, utf8
+from .common import WordHash, cut, groups, keyed, pack32, rolling, split_sorted, stored, unpack32, utf8
 from .components import components
 
 U32 = np.uint64(0xFFFFFFFF)
@@ -180,6 +182,8 @@ class PrefixTree:
             least = int(self.size[lo:hi].min())
             reach = np.minimum(overlap + rest, self.size)
             alive = 100 * reach >= percent * (self.size + least - np.minimum(reach, least))
+            if hi - lo == 1:  # with itself alone it has nothing to link
+                alive[lo] = False
             if not alive.any():
                 continue
             i = lo
@@ -213,8 +217,8 @@ class PrefixTree:
         return found
 
 
-def _tree_links(t: pa.Table, percent: int) -> pa.Table:
-    """Links of one group or pair of tiles; the first of two equal tiles links inside, different ones only across."""
+def _tree_links(t: pa.Table, percent: int, across: bool = False) -> pa.Table:
+    """Links of one group, or across only those of sets with different `side`."""
     freq, hashes = [], []
     for data in t.column("members").to_pylist():
         m = len(data) // 12
@@ -225,25 +229,44 @@ def _tree_links(t: pa.Table, percent: int) -> pa.Table:
     rank = np.empty(len(every), np.int64)
     rank[order] = np.arange(len(every))
     sets = [rank[np.searchsorted(every, h)] for h in hashes]
-    tiles = np.array(t.column("tile").to_pylist())
     keys = t.column("key").to_pylist()
-    found = PrefixTree(sets).links(percent, tiles if len(set(tiles.tolist())) > 1 else None)
+    found = PrefixTree(sets).links(percent, t.column("side").to_numpy() if across else None)
     return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.binary()), "b": pa.array([keys[j] for _, j in found], pa.binary())})
 
 
-def link_groups(sets: DataFrame, grouped: DataFrame, percent: int, tile_size: int) -> DataFrame:
-    """(a, b): links between keys of one group. Groups beyond tile_size sets are split into tiles, one task a pair."""
-    sized = grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+def link_groups(sets: DataFrame, grouped: DataFrame, percent: int, tile_size: int, pivots: int = 32) -> DataFrame:
+    """(a, b): links between keys of one group (root, key) that span the same components as all of them."""
+    sizes = cut(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    giant = sizes.filter(F.col("n") > tile_size)
+    n_giant = giant.count()
+    # at most a group for every tile_size sets, counted before it is broadcast
+    large = F.broadcast(giant) if n_giant <= 100_000 else giant
+    small = grouped.join(large, "root", "left_anti").join(sets, "key").groupBy("root").applyInArrow(lambda t: _tree_links(t, percent), "a binary, b binary")
+    if not n_giant:
+        return small
     tiles = F.ceil(F.col("n") / tile_size).cast("int")
-    tiled = sized.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # a tile meets itself and every other tile
-    pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "root", F.col("node").alias("key"), "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")
-    )
-    return pairs.join(sets, "key").groupBy("root", "i", "j").applyInArrow(lambda t: _tree_links(t, percent), "a binary, b binary")
-
-
-def join(docs: DataFrame, size: int = 5, percent: int = 80, tile_size: int = 1000, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    dealt = grouped.join(large, "root").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = stored(dealt.join(sets, "key"))
+    every_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    chosen = dealt.filter(F.pmod(F.xxhash64("key", F.lit("pivot")), F.ceil(F.col("n") / pivots)) == 0).select("root", every_tile, "key", "members")
+    first = stored(dealt.select("root", "tile", "key", "members").union(chosen).groupBy("root", "tile").applyInArrow(lambda t: _tree_links(t, percent), "a binary, b binary"))
+    # what is not in its group's largest component yet
+    label = components(first).withColumnRenamed("root", "label")
+    labelled = cut(dealt.select("root", "key", "tiles").join(label, F.col("key") == F.col("node"), "left").select("root", "key", "tiles", F.coalesce("label", "key").alias("label")))
+    most = labelled.groupBy("root", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("root").agg(F.max(F.struct("m", "label")).alias("most"))
+    most = most.select("root", F.col("most.label").alias("main"))
+    rest = labelled.join(F.broadcast(most) if n_giant <= 100_000 else most, "root").filter(F.col("label") != F.col("main"))
+    rest = cut(rest.select("root", "key", "tiles"))
+    count = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile_size).cast("int").alias("parts"))
+    parts = F.broadcast(count) if n_giant <= 100_000 else count
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")
+    left = rest.join(parts, "root").select("root", "tiles", "key", part).join(sets, "key").select("root", "part", every_tile, "key", "members", F.lit(1).alias("side"))
+    own = dealt.join(parts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tile", "key", "members", F.lit(0).alias("side"))
+    second = own.unionByName(left).groupBy("root", "part", "tile").applyInArrow(lambda t: _tree_links(t, percent, True), "a binary, b binary")
+    return small.union(first).union(second)
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 80, tile_size: int = 256, n: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least percent similarity."""
     n = groups(docs, text_col, n)
     dealt = keyed(docs, n, id_col, text_col)
@@ -260,7 +283,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, tile_size: int = 100
     # a star of each shingle's sets around the smallest key is enough to bring them into one group
     heads = posts.groupBy("shingle").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", "head")
     near = posts.join(heads, "shingle").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    links = cut(link_groups(open_.select("key", "members"), components(near), percent, tile_size))
+    links = cut(link_groups(open_.select("key", "members"), components(near).select("root", F.col("node").alias("key")), percent, tile_size))
     roots = components(links)
     labelled = sets.select("key", "least").join(roots, sets.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -58,7 +58,7 @@ def classes(rows, size=5, percent=80):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("percent, tile_size", [(80, 1000), (80, 3), (50, 1000)])
+@pytest.mark.parametrize("percent, tile_size", [(80, 256), (80, 3), (50, 4)])
 def test_join_equals_all_pairs(spark, percent, tile_size):
     rows = near_texts()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, key string").repartition(3)
@@ -69,6 +69,27 @@ def test_join_equals_all_pairs(spark, percent, tile_size):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_join_of_a_large_group_of_near_copies(spark):
+    """One group of far more sets than a tile holds: two clusters of near copies, chains and loners, all exact."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(120)]
+    other = base[:60] + [r.choice(words) for _ in range(60)]
+    rows, chain = [], list(base[:80])
+    for i in range(150):
+        w = list(base if i % 3 else other)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    for i in range(30):
+        chain[r.randrange(80)] = r.choice(words)
+        rows.append((500 + i, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes(rows)
+    got = {x.doc_id: x.component_id for x in jaccard.join(df, tile_size=8).collect()}
+    assert got == want and 2 < len(set(want.values())) < 150
+
+
 def test_join_of_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(5, "a b c d e f")] * 3 + [(3, "A b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
     rows = jaccard.join(df).collect()
