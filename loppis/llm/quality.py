@@ -298,8 +298,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return done.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in COUNTS[:5]], "base_failed", "kept", F.round("distance", 3).alias("distance"), "level")
 
 
-def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with their columns. Texts are counted once, and the rows stored with their counts."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = cut(docs.select(whole, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("_q")))
-    return judge(rows, estimate(rows)).filter("kept").select("_row.*")
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", broadcast_rows: int = 500_000) -> DataFrame:
+    """The documents that are kept, with their columns.
+
+    Texts are counted once. A verdict depends on text, language and source alone, so the counts are kept under 128-bit
+    hashes of these, and the rejected hashes, broadcast after a count or else joined, take the documents out.
+    """
+    parts = [F.col(f"`{c}`") for c in (text_col, lang_col, source_col)]
+    nulls = [p.isNull() for p in parts]
+    name = F.struct(F.xxhash64(F.lit(1), *parts, *nulls).alias("a"), F.xxhash64(F.lit(2), *parts, *nulls).alias("b"))
+    rows = cut(docs.select(name.alias("name"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("_q")))
+    gone = cut(judge(rows, estimate(rows)).filter(~F.col("kept")).select("name").distinct())
+    small = gone.count() <= broadcast_rows
+    # the row is carried in a struct, so that no column's name can clash
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
+    return carried.join(F.broadcast(gone) if small else gone, "name", "left_anti").select("row.*")
