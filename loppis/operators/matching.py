@@ -18,33 +18,38 @@ def _runs_of(w: Column, n: int) -> Column:
     return F.filter(F.transform(starts, lambda i: F.when(F.size(w) >= n, F.array_join(F.slice(w, i, n), " "))), lambda g: g.isNotNull())
 
 
-def _grams(words: Column, longest: int) -> Column:
-    """Distinct runs of 1 to `longest` words, joined by spaces."""
-
-    def runs(w: Column) -> Column:
-        each = [w]
-        each += [_runs_of(w, n) for n in range(2, longest + 1)]
-        return F.array_distinct(F.concat(*each))
-
-    return let(words, runs)
-
-
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), WORD_SPLIT), lambda w: w != "")
 
 
-def token_hits(titles: DataFrame, dictionary: DataFrame, title_id: str, title: str, token: str, longest: int = 4) -> DataFrame:
+def token_hits(titles: DataFrame, dictionary: DataFrame, title_id: str, title: str, token: str, longest: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
     """(title_id, dictionary columns) for each dictionary token in a title, at word boundaries.
 
-    Titles are cut into word runs and hash-joined with the tokens' word runs; the boundary test then runs on the few
-    candidates only. Tokens of more than `longest` words take part through their first words. A token without a word
-    never matches.
+    A token that is one word is in a title just where it equals one of its words, so words are joined and no text
+    moves; the dictionary is broadcast after a count, or else joined by a shuffle of the words. Other tokens are joined
+    by their first words, of `longest` at most and only in numbers that occur, and tested at their boundaries on the
+    few candidates. A token without a word never matches.
     """
-    keyed = dictionary.withColumn("_gram", F.array_join(F.slice(_words(F.col(token)), 1, longest), " ")).filter((F.col("_gram") != "") & (F.length(token) >= 3))
-    # texts stay out of the exploded rows; only candidate pairs meet them again
-    runs = titles.select(title_id, F.explode(_grams(_words(F.col(title)), longest)).alias("_gram"))
-    maybe = runs.join(keyed, "_gram").drop("_gram").distinct()
-    return maybe.join(titles.select(title_id, title), title_id).filter(text.contains_token(F.col(title), F.col(token))).drop(title)
+    usable = dictionary.filter(F.length(token) >= 3).withColumn("_plain", F.regexp_like(F.col(token), F.lit("^[A-Za-z0-9_-]+$")))
+    usable = usable.withColumn("_n", F.when(F.col("_plain"), F.lit(1)).otherwise(F.least(F.size(_words(F.col(token))), F.lit(longest)))).filter("_n > 0")
+    counts = {(r["_plain"], r["_n"]): r["count"] for r in usable.groupBy("_plain", "_n").count().collect()}  # at most 2 * longest rows
+    small = sum(counts.values()) <= broadcast_rows
+
+    def beside(tokens: DataFrame) -> DataFrame:
+        return F.broadcast(tokens.drop("_plain", "_n")) if small else tokens.drop("_plain", "_n")
+
+    # split before lower-casing: letters that only become ASCII in lower case are no word characters
+    own = F.array_distinct(F.transform(F.filter(F.split(F.col(title), WORD_SPLIT), lambda w: w != ""), F.lower))
+    plain = beside(usable.filter("_plain").withColumn("_gram", F.lower(token)))
+    found = titles.select(title_id, F.explode(own).alias("_gram")).join(plain, "_gram").drop("_gram")
+    lengths = sorted(n for is_plain, n in counts if not is_plain)
+    if not lengths:
+        return found
+    rest = beside(usable.filter(~F.col("_plain")).withColumn("_gram", F.array_join(F.slice(_words(F.col(token)), 1, longest), " ")))
+    grams = let(_words(F.col(title)), lambda w: F.array_distinct(F.concat(*[_runs_of(w, n) for n in lengths])))
+    maybe = titles.select(title_id, F.explode(grams).alias("_gram")).join(rest, "_gram").drop("_gram").distinct()
+    tested = maybe.join(titles.select(title_id, title), title_id).filter(text.contains_token(F.col(title), F.col(token))).drop(title)
+    return found.unionByName(tested)
 
 
 def token_hits_naive(titles: DataFrame, dictionary: DataFrame, title_id: str, title: str, token: str) -> DataFrame:

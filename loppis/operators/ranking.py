@@ -25,6 +25,17 @@ def merged_sources(df: DataFrame, key: str, source_rank: str, position: str) ->
     return once.withColumn("turn", F.row_number().over(W.partitionBy(source_rank).orderBy(position)))
 
 
+def interleaved(df: DataFrame, source: str, order: list[Column]) -> DataFrame:
+    """Rows with their `turn` within the source and their `place` when sources take turns one by one, in the order of
+    the sources. Of a place all that matters is how many rows each source has, so nothing is sorted over all rows."""
+    rows = df.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(*order)))
+    # one row a source: the few places that listings come from
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(source).alias("source"), "n")).alias("counts"))
+    before = F.aggregate("_counts", F.lit(0).cast("long"), lambda acc, s: acc + F.least(s["n"], F.col("turn") - 1))
+    same = F.aggregate("_counts", F.lit(0).cast("long"), lambda acc, s: acc + ((s["source"] <= F.col(source)) & (s["n"] >= F.col("turn"))).cast("long"))
+    return rows.withColumn("_counts", counts.scalar()).withColumn("place", (before + same).cast("int")).drop("_counts")
+
+
 def image_priority(watchlists: DataFrame, catalogue: DataFrame, listings: DataFrame, key: str) -> DataFrame:
     """Catalogue image, else the latest listing image, else that of the dearest listing.
 

@@ -625,8 +625,7 @@ def merged(spark, sf):
 
 @q(_MERGE + " SELECT url, source_rank, row_number() OVER (ORDER BY turn, source_rank, url) AS place FROM (SELECT url, source_rank, row_number() OVER (PARTITION BY source_rank ORDER BY position, url) AS turn FROM o)")
 def w06_interleave(spark, sf):
-    m = merged(spark, sf).withColumn("turn", F.row_number().over(W.partitionBy("source_rank").orderBy("position", "url")))
-    return m.select("url", "source_rank", F.row_number().over(W.orderBy("turn", "source_rank", "url")).alias("place"))
+    return ranking.interleaved(merged(spark, sf), "source_rank", [c("position"), c("url")]).select("url", "source_rank", "place")
 
 
 @q(_MERGE + " SELECT url, source_rank, position FROM o")

@@ -111,6 +111,11 @@ _over(
     "f24_sitemap_filename", "part", "p_partkey", lambda: {"file": text.sitemap_filename(_file()), "bundle": text.is_bundle(text.sitemap_filename(_file()))},
     {"file": _sqlfile, "bundle": f"regexp_matches({_sqlfile}, '(?i)[_-](bundle|pack|set|kit|rig|starter|combo|value|deal)\\b')"},
 )
+_over("f23_is_dba", "pages", "page_id", lambda: {"dba": text.is_dba_listing(_market())}, {"dba": f"{_sqlmarket} LIKE 'https://www.dba.dk/%'"})
+_over(
+    "f25_is_bundle", "part", "p_partkey", lambda: {"bundle": text.is_bundle(text.sitemap_filename(_file()))},
+    {"bundle": f"regexp_matches({_sqlfile}, '(?i)[_-](bundle|pack|set|kit|rig|starter|combo|value|deal)\\b')"},
+)
 _over("f26_synonym_variants", "part", "p_partkey", lambda: {"variants": F.array_join(text.synonym_variants(text.slugify(F.concat_ws(" ", "p_brand", "p_name")), F.concat_ws(" ", "p_brand", "p_name")), "|")}, None)
 _over(
     "f27_query_synonym", "part", "p_partkey", lambda: {"term": text.query_synonym(F.when(F.col("p_size") % 2 == 0, "re201").otherwise(F.col("p_name")))},
