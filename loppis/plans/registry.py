@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import composites, pricing, relational, scalars
+from . import composites, landed, pricing, relational, scalars
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (pricing, scalars, relational, composites):
+for _module in (pricing, scalars, relational, composites, landed):
     QUERIES |= _module.book.queries
     ORACLE_SQL |= _module.book.oracle_sql

@@ -183,14 +183,26 @@ def paragraphs(page: Column, most: int = 1000) -> Column:
     return F.substring(F.array_join(F.transform(F.regexp_extract_all(page, F.lit("<p>([^<]{40,})</p>"), F.lit(1)), lambda p: F.trim(p)), "\n\n"), 1, most)
 
 
+def locations(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Locations of sitemaps held in a column."""
+    urls = F.regexp_extract_all(F.col(payload), F.lit("<loc>([^<]+)</loc>"), F.lit(1))
+    return payloads.select(*[c for c in payloads.columns if c != payload], F.explode(urls).alias("url"))
+
+
 def sitemap(spark, path: str) -> DataFrame:
     """Locations of a sitemap file, gzipped or not."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit("<loc>([^<]+)</loc>"), F.lit(1))).alias("url"))
+    return locations(spark.read.text(path, wholetext=True), "value")
+
+
+def flat_rows(payloads: DataFrame, name: str, schema: str, payload: str = "payload") -> DataFrame:
+    """Rows of {"<name>": [...]} held in a column."""
+    found = F.from_json(F.col(payload), f"{name} array<{schema}>")[name]
+    return payloads.select(*[c for c in payloads.columns if c != payload], F.inline(found))
 
 
 def flat_list(spark, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of {"<name>": [...]}."""
-    return spark.read.schema(f"{name} array<{schema}>").option("multiLine", True).json(path).select(F.inline(name))
+    """Rows of a file of {"<name>": [...]}."""
+    return flat_rows(spark.read.text(path, wholetext=True), name, schema, "value")
 
 
 def marketplace_rows(df: DataFrame) -> DataFrame:

@@ -59,9 +59,9 @@ WHOLE = {"j16_resolve_canonical": "product_id", "j17_token_overlap": "p_partkey"
 @pytest.mark.parametrize("name", sorted(WHOLE))
 def test_whole_table_of_parts(spark, name):
     """Neither the whole queries nor their SQL have a cut: parts of all sizes have results."""
-    sql = registry.ORACLE_SQL[f"{name}_whole"]
+    sql = registry.ORACLE_SQL[name]
     assert not any(x in sql for x in ("p_size <", "p_size >", "p_partkey <"))
-    rows = registry.QUERIES[f"{name}_whole"](spark, SF).select(F.col(WHOLE[name]).alias("p_partkey"))
+    rows = registry.QUERIES[name](spark, SF).select(F.col(WHOLE[name]).alias("p_partkey"))
     sizes = spark.read.parquet(f"{SF}/part.parquet").join(rows, "p_partkey", "left_semi")
     assert sizes.filter("p_size BETWEEN 25 AND 40").count() > 0 and sizes.filter("p_size < 20").count() > 0 and sizes.filter("p_size > 45").count() > 0
 
