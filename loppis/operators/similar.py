@@ -26,6 +26,14 @@ def token_overlap_best(names: DataFrame, files: DataFrame, name_id: str, name: s
     return named.join(best, "_name").select(name_id, url, "score")
 
 
+def assign_urls(products: DataFrame, urls: DataFrame, at_least: float = 0.75) -> DataFrame:
+    """products (id, name, url) with the best page of the site's urls where they have none; bundles' pages never count."""
+    files = urls.select(F.col("url"), text.sitemap_filename(F.col("url")).alias("_file")).distinct().filter(~text.is_bundle(F.col("_file")))
+    files = files.select("url", F.split(F.lower("_file"), "_").alias("parts"), F.length("_file").alias("length"))
+    best = token_overlap_best(products.filter("url IS NULL"), files, "id", "name", "url", at_least).select("id", F.col("url").alias("_best"))
+    return products.join(best, "id", "left").withColumn("url", F.coalesce("url", "_best")).drop("_best")
+
+
 def clean_candidates(dirty: DataFrame, clean: DataFrame, n: int = 5, floor: float = 0.4) -> DataFrame:
     """(id, candidate_id, candidate_name, sim): the n most similar clean names of the same brand by trigrams.
 

@@ -184,15 +184,20 @@ h AS (SELECT doc_id AS listing_id, d.* FROM documents JOIN d ON len(token) >= 3
 SELECT listing_id, product_id, method, score FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, priority, product_id) rn FROM h) WHERE rn = 1"""
 
 
-@q(_C01)
-def c01_matcher(spark, sf):
+def matcher_tables(spark, sf):
+    """(identifiers, synonyms, models) of products made of benchmark items."""
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Za-z0-9_-]+)"), F.lit(1)).alias("w"))
     i = c("item_id")
     identifiers = b.select(i.alias("product_id"), F.get("w", F.lit(2)).alias("value"), F.when(i % 3 == 0, "EAN").when(i % 3 == 1, "SKU").otherwise("MODEL").alias("type"), i.alias("seq"))
     synonyms = b.select(F.when(i % 5 > 0, i).alias("product_id"), F.get("w", F.lit(4)).alias("alias"), F.lit("alias").alias("match_type"), (i % 2).alias("priority"), i.alias("seq"))
     models = b.select(i.alias("product_id"), F.get("w", F.lit(6)).alias("model"), i.alias("seq"))
+    return identifiers, synonyms, models
+
+
+@q(_C01)
+def c01_matcher(spark, sf):
     listings = table(spark, sf, "documents").select(c("doc_id").alias("listing_id"), c("text").alias("title"))
-    return matching.cascade(listings, identifiers, synonyms, models)
+    return matching.cascade(listings, *matcher_tables(spark, sf))
 
 
 _RANGE = """r0 AS (SELECT l_partkey AS k, l_extendedprice AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) rn, count(*) OVER (PARTITION BY l_partkey) n FROM lineitem WHERE l_returnflag IN ('R', 'A')),

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loppis.operators import catalog, ranking
+from loppis.operators import catalog, ranking, similar
 from loppis.session import shared_folder, table
 from loppis.sources import extract
 from loppis.streaming import ticks
 
 from .base import Book
+from .composites import _C01, matcher_tables
 from .relational import _MERGE, merged
 
 book = Book()
@@ -268,3 +269,35 @@ def st02_tick_alerts(spark, sf):
 @q(_MERGE + " SELECT url, source_rank, row_number() OVER (PARTITION BY source_rank ORDER BY position, url) AS turn FROM o")
 def u04_interleaving_union(spark, sf):
     return ranking.interleaved(merged(spark, sf), "source_rank", [c("position"), c("url")]).select("url", "source_rank", "turn")
+
+
+@q(_C01)
+def st11_incremental_matching(spark, sf):
+    """Landed listings matched in ticks; a second run over the same files finds nothing left to match."""
+    folder = shared_folder(spark)
+    tables = matcher_tables(spark, sf)
+    schema = "listing_id long, product_id long, method string, score int"
+    none = spark.createDataFrame([], schema)
+    for run in range(2):
+        old = spark.read.schema(schema).parquet(f"{folder}/rows") if run else none
+        work = lambda batch, _, old=old: ticks.match_unmatched(batch, old, *tables).write.mode("append").parquet(f"{folder}/rows")
+        listings = landed(spark, sf, "documents").select(c("doc_id").alias("listing_id"), c("text").alias("title"))
+        ran(listings, f"{folder}/run{run}", work)
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+_FILES = "replace(p_name || ' ' || p_type, ' ', '_')"
+
+
+@q(f"""WITH u AS (SELECT DISTINCT 'https://www.thomann.dk/gb/' || {_FILES} || CASE WHEN p_size % 3 = 0 THEN '_set' ELSE '' END || '.htm' AS url, {_FILES} || CASE WHEN p_size % 3 = 0 THEN '_set' ELSE '' END AS file FROM part),
+f AS (SELECT url, string_split(lower(file), '_') AS parts, len(file) AS length FROM u WHERE NOT regexp_matches(file, '(?i)[_-](bundle|pack|set|kit|rig|starter|combo|value|deal)\\b')),
+n AS (SELECT p_partkey AS id, list_filter(string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' '), lambda x: x <> '') AS w FROM part WHERE p_size % 2 = 0),
+s AS (SELECT id, url, length, len(list_filter(w, lambda x: list_contains(parts, x))) / len(w) AS score FROM n, f),
+b AS (SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, length, url) rn FROM s WHERE score >= 0.75) WHERE rn = 1)
+SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN b.url ELSE 'own' END AS url FROM part LEFT JOIN b ON b.id = p_partkey""")
+def c15_url_assignment(spark, sf):
+    """Pages of a sitemap assigned to the products that have none."""
+    file = cat(F.replace(F.concat_ws(" ", "p_name", "p_type"), F.lit(" "), F.lit("_")), F.when(c("p_size") % 3 == 0, "_set").otherwise(""))
+    pages = extract.locations(parts(spark, sf, cat("<url><loc>https://www.thomann.dk/gb/", file, ".htm</loc></url>"), "payload"))
+    products = table(spark, sf, "part").select(c("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("name"), F.when(c("p_size") % 2 != 0, "own").alias("url"))
+    return similar.assign_urls(products, pages).select("id", "url")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from loppis.operators.matching import cascade
 from loppis.operators.writes import first_by, update_where, upsert
 
 
@@ -29,7 +30,8 @@ def tick(batch: DataFrame, listings: DataFrame, watchlists: DataFrame) -> tuple[
     never alerted are, and are marked at once, whatever becomes of the message.
     """
     caps = watchlists.filter("active").select(F.col("id").alias("watchlist_id"), "max_price")
-    kept = batch.join(F.broadcast(caps), "watchlist_id").filter(within_cap(F.col("price"), F.col("max_price"))).drop("max_price")
+    # a batch and the watchlists meet by hash; Spark broadcasts either side itself where it is small
+    kept = batch.join(caps, "watchlist_id").filter(within_cap(F.col("price"), F.col("max_price"))).drop("max_price")
     grown = upsert(listings, kept, ["url", "watchlist_id"], [F.col("scraped_at").desc(), F.col("title")])
     snapshots = kept.select("url", "watchlist_id", "price", "title", "scraped_at")
     alerts = grown.join(kept.select("url", "watchlist_id").distinct(), ["url", "watchlist_id"], "left_semi").filter("notified_at IS NULL")
@@ -38,6 +40,13 @@ def tick(batch: DataFrame, listings: DataFrame, watchlists: DataFrame) -> tuple[
     return marked, snapshots, alerts
 
 
+def match_unmatched(batch: DataFrame, matches: DataFrame, identifiers: DataFrame, synonyms: DataFrame, models: DataFrame) -> DataFrame:
+    """New rows for the table of matches after one micro-batch of listings (listing_id, title): those that have a match
+    already are left alone."""
+    new = batch.dropDuplicates(["listing_id"]).join(matches.select("listing_id").distinct(), "listing_id", "left_anti")
+    return cascade(new, identifiers, synonyms, models)
+
+
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs `work` on every micro-batch that has landed, then stops."""
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
