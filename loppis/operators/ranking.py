@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loppis.session import shared_folder
+
 from .writes import first_by
 
 
@@ -18,22 +20,45 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, group: str | None = None) -> DataFrame:
+    """Rows with their number from 1 in a total order, over all rows or within each `group`.
+
+    Rows are sorted into ranges and numbered inside these; each range adds the rows of the ranges before it, so no task
+    holds more than a range, however large a group is. The ranges are written to the shared folder once: both their
+    counts and their rows come from what was written.
+    """
+    by = [F.col(group), *order] if group else order
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    folder = shared_folder(df.sparkSession)
+    ranged.write.parquet(folder)
+    # the id holds the number of the range above 33 bits that count its rows
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(folder).withColumn("_range", F.shiftright("_at", 33)).withColumn(name, inside).drop("_at")
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # one row a range, and there are at most as many ranges as shuffle partitions
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    if group:
+        first = placed.groupBy(F.col(group).alias("_group")).agg((F.min(name) - 1).alias("_skip"))
+        placed = placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_skip"))
+    return placed.select(*df.columns, name)
+
+
 def merged_sources(df: DataFrame, key: str, source_rank: str, position: str) -> DataFrame:
-    """First occurrence of each key by source priority and position, with its number within the source as `turn`:
-    order by (turn, source_rank) interleaves the sources one by one."""
-    once = first_by(df, [key], [F.col(source_rank), F.col(position)])
-    return once.withColumn("turn", F.row_number().over(W.partitionBy(source_rank).orderBy(position)))
+    """First occurrence of each key by source priority and position."""
+    return first_by(df, [key], [F.col(source_rank), F.col(position)])
 
 
 def interleaved(df: DataFrame, source: str, order: list[Column]) -> DataFrame:
     """Rows with their `turn` within the source and their `place` when sources take turns one by one, in the order of
     the sources. Of a place all that matters is how many rows each source has, so nothing is sorted over all rows."""
-    rows = df.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(*order)))
+    rows = numbered(df, order, "turn", source)
     # one row a source: the few places that listings come from
-    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(source).alias("source"), "n")).alias("counts"))
+    counts = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(source).alias("source"), "n")).alias("counts"))
     before = F.aggregate("_counts", F.lit(0).cast("long"), lambda acc, s: acc + F.least(s["n"], F.col("turn") - 1))
     same = F.aggregate("_counts", F.lit(0).cast("long"), lambda acc, s: acc + ((s["source"] <= F.col(source)) & (s["n"] >= F.col("turn"))).cast("long"))
-    return rows.withColumn("_counts", counts.scalar()).withColumn("place", (before + same).cast("int")).drop("_counts")
+    return rows.withColumn("_counts", counts.scalar()).withColumn("place", before + same).drop("_counts")
 
 
 def image_priority(watchlists: DataFrame, catalogue: DataFrame, listings: DataFrame, key: str) -> DataFrame:

@@ -259,7 +259,8 @@ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, p
 SELECT regexp_replace(left(sha256('shop:' || key), 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id, s, row_number() OVER (PARTITION BY s ORDER BY page_id) AS turn FROM o""")
 def c07_federated_search(spark, sf):
     u = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("key"), F.when(F.contains("url", F.lit("blog.")), 1).when(F.contains("url", F.lit("m.")), 2).otherwise(3).alias("s"))
-    return ranking.merged_sources(u, "key", "s", "page_id").select(text.deterministic_id(F.lit("shop"), c("key")).alias("id"), "s", "turn")
+    turns = ranking.numbered(ranking.merged_sources(u, "key", "s", "page_id"), [c("page_id"), c("key")], "turn", "s")
+    return turns.select(text.deterministic_id(F.lit("shop"), c("key")).alias("id"), "s", "turn")
 
 
 @q("""SELECT c_custkey, coalesce(n, 0) AS listings, latest FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) a ON c_custkey = a.o_custkey
@@ -455,6 +456,4 @@ UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t > f.ends THEN e.t + 3600 ELSE f.e
 SELECT user_id, count(*) AS requests, count(*) FILTER (WHERE ok) AS allowed FROM f GROUP BY 1""")
 def st10_rate_limit(spark, sf):
     e = table(spark, sf, "events").select("user_id", (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("t"))
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    ok = g.select("user_id", F.size("ts").cast("long").alias("requests"), ticks.rate_limited(c("ts"), 3600.0, 2).alias("ok"))
-    return ok.select("user_id", "requests", F.size(F.filter("ok", lambda x: x)).cast("long").alias("allowed"))
+    return ticks.limited(e, "user_id", "t", 3600.0, 2)

@@ -652,8 +652,9 @@ def w11_ranked_candidates(spark, sf):
 
 @q("SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) - 1) / 50) AS BIGINT) AS batch FROM orders")
 def w12_batches(spark, sf):
-    rn = F.row_number().over(W.partitionBy("o_orderpriority").orderBy(c("o_orderdate").desc(), "o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey", F.floor((rn - 1) / 50).alias("batch"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    o = ranking.numbered(o, [c("o_orderdate").desc(), c("o_orderkey")], "n", "o_orderpriority")
+    return o.select("o_orderkey", F.floor((c("n") - 1) / 50).alias("batch"))
 
 
 # --- orders, limits, sets -------------------------------------------------------------------------------------------
@@ -697,7 +698,7 @@ def o04_two_stage(spark, sf):
 @q("SELECT p_name, n, row_number() OVER (ORDER BY n DESC, p_name) AS place FROM (SELECT p_name, count(*) n FROM part GROUP BY 1)")
 def o09_demand_then_name(spark, sf):
     n = table(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("p_name", "n", F.row_number().over(W.orderBy(c("n").desc(), "p_name")).alias("place"))
+    return ranking.numbered(n, [c("n").desc(), c("p_name")], "place")
 
 
 @q("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")

@@ -6,10 +6,12 @@ run over landed files gives the batch answer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -113,6 +115,51 @@ def rate_limited(times: Column, window_seconds: float = 60.0, most: int = 20) ->
     return F.aggregate(times, start, step)["ok"]
 
 
+def limited(requests: DataFrame, client: str, seconds: str, window: float = 60.0, most: int = 20) -> DataFrame:
+    """(client, requests, allowed) by the same rule over a table, however many requests a client has; requests without
+    a time are left out.
+
+    A pause longer than the window closes any open one, so what lies between two such pauses stands alone. Pauses are
+    found between slices of the window's length, a row each. Sessions are dealt over tasks, sorted, and read in batches
+    that pass the open window on; only a client that never pauses has all its requests in one task, never in one row.
+    """
+    rows = requests.filter(F.col(seconds).isNotNull()).select(client, seconds, F.floor(F.col(seconds) / window).alias("_slice"))
+    edges = rows.groupBy(F.col(client).alias("_client"), F.col("_slice").alias("_part")).agg(F.min(seconds).alias("_first"), F.max(seconds).alias("_last"))
+    by = W.partitionBy("_client").orderBy("_part")
+    edges = edges.withColumn("_new", (F.col("_first") > F.lag("_last").over(by) + window).cast("long"))
+    session = F.sum(F.coalesce("_new", F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    sessions = edges.select("_client", "_part", session.cast("string").alias("_session"))
+    joined = rows.join(sessions, F.col(client).eqNullSafe(F.col("_client")) & (F.col("_slice") == F.col("_part")))
+    key = F.concat("_session", F.lit(" "), F.coalesce(F.concat(F.lit("="), F.col(client).cast("string")), F.lit("")))
+    dealt = joined.select(client, F.col(seconds).cast("double").alias("_t"), key.alias("_key")).repartition("_key").sortWithinPartitions("_key", "_t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, ends, n = None, float("-inf"), 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys, t = pdf["_key"].to_numpy(), pdf["_t"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            stops = np.r_[starts[1:], len(t)]
+            allowed = []
+            for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                if keys[a] != open_key:
+                    open_key, ends, n = keys[a], float("-inf"), 0
+                i, ok = a, 0
+                while i < b:  # one step a window
+                    if t[i] > ends:
+                        ends, n = t[i] + window, 0
+                    j = i + int(np.searchsorted(t[i:b], ends, side="right"))
+                    taken = min(most - n, j - i)
+                    i, n, ok = j, n + taken, ok + taken
+                allowed.append(ok)
+            yield pd.DataFrame({client: pdf[client].iloc[starts].array, "requests": stops - starts, "allowed": allowed})
+
+    type_ = requests.schema[client].dataType.simpleString()
+    some = dealt.mapInPandas(run, f"`{client}` {type_}, requests long, allowed long")
+    return some.groupBy(client).agg(F.sum("requests").alias("requests"), F.sum("allowed").alias("allowed"))
+
+
 LIMITED = "client string, requests long, allowed long"
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loppis.functions import dates, money, stats, text
-from loppis.operators import matching, writes
+from loppis.operators import matching, ranking, writes
 from loppis.plans import registry
 from loppis.sources import extract
 from loppis.streaming import ticks
@@ -247,3 +247,28 @@ def test_tick_marks_and_alerts_once(spark):
     state = spark.createDataFrame(state.collect(), state.schema)
     again, _, alerts = ticks.tick(batch, state, lists)
     assert alerts.count() == 0 and again.count() == 2
+
+
+def test_limited_table_equals_fold(spark):
+    """A client that never pauses, one with pauses, equal times, a null client and a null time."""
+    rows = [("busy", i * 0.7) for i in range(900)] + [("slow", float(i * i)) for i in range(60)] + [("tie", 5.0)] * 30 + [(None, 1.0), (None, 1.5), ("tie", None)]
+    e = spark.createDataFrame(rows, "client string, t double").repartition(5)
+    got = ticks.limited(e, "client", "t", 60.0, 20)
+    g = e.groupBy("client").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    want = g.select("client", F.size("t").alias("n"), F.size(F.filter(ticks.rate_limited(F.col("t")), lambda x: x)).alias("m"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert ticks.limited(e.limit(0), "client", "t").count() == 0
+
+
+def test_numbered_over_ranges(spark):
+    """Numbers over all rows and within groups, a hot and a null group among them, equal a plain ranking."""
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"g{i % 12}", i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, v int").repartition(6)
+    got = {r.id: r.place for r in ranking.numbered(df, [F.col("v").desc(), F.col("id")], "place").collect()}
+    assert got == {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+    got = {r.id: r.place for r in ranking.numbered(df, [F.col("v").desc(), F.col("id")], "place", "g").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        want |= {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])))}
+    assert got == want
+    assert ranking.numbered(df.limit(0), [F.col("id")], "place", "g").count() == 0
