@@ -1,6 +1,6 @@
 """String functions over listing titles, names and slugs, as Column expressions.
 
-Only the accent-stripping slug and the variant generator need Python; both are Arrow-batched.
+Only the accent-stripping slug needs Python, Arrow-batched.
 """
 
 from __future__ import annotations
@@ -111,7 +111,10 @@ def extract_model(title: Column, brand: Column) -> Column:
 
 
 #: Descriptive words that a search term drops.
-NOISE_ADJECTIVES = "Synthesizer Monophonic Analog Polyphonic Vintage Black White Silver Gold Original Standard Classic Serviced Restored Modified"
+NOISE_ADJECTIVES = (
+    "Synthesizer", "Monophonic", "Analog", "Polyphonic", "Vintage", "Black", "White", "Silver", "Gold", "Original", "Standard",
+    "Classic", "Serviced", "Restored", "Modified",
+)
 
 
 def strip_search_term(name: Column) -> Column:
@@ -126,7 +129,7 @@ def strip_search_term(name: Column) -> Column:
         (r"(?i)^(\S+)\s+\1\s+", "$1 "),
         (r"\s*\d{4}.*$", ""),
         (r"(?i)\s*\d+[-\s]?Keys?\b", ""),
-        (r"(?i)\b(" + NOISE_ADJECTIVES.replace(" ", "|") + r")\b", ""),
+        (r"(?i)\b(" + "|".join(NOISE_ADJECTIVES) + r")\b", ""),
         (r"[-\s]+$", ""),
         (r"\s+", " "),
         (r"^ | $", ""),
@@ -139,7 +142,7 @@ def strip_search_term(name: Column) -> Column:
 
 
 #: Colours that end a product name.
-COLOURS = "Black White Silver Red Blue Green Gold Natural Sunburst Cream".split() + ["Vintage White"]
+COLOURS = ("Black", "White", "Silver", "Red", "Blue", "Green", "Gold", "Natural", "Sunburst", "Cream", "Vintage White")
 
 
 def clean_name(name: Column) -> Column:
@@ -173,7 +176,9 @@ def dirty_flags(slug: Column, name: Column, brand: Column | None = None) -> Colu
 
 
 #: Words of accessories and spares.
-ACCESSORY_WORDS = "cover case dust parts replacement adapter cable strap stand bag gig manual knob screw bolt".split()
+ACCESSORY_WORDS = (
+    "cover", "case", "dust", "parts", "replacement", "adapter", "cable", "strap", "stand", "bag", "gig", "manual", "knob", "screw", "bolt",
+)
 
 
 def is_noise(name: Column) -> Column:
@@ -343,7 +348,9 @@ def instrument_type(keywords: Column) -> Column:
     return chain.otherwise("synthesizer")
 
 
+#: How a page writes a year, and the verbs before the year of an introduction.
 YEAR = r"19[5-9]\d|20[012]\d"
+INTRODUCED = "introduced|released|launched|produced|manufactured|first appeared|built|designed|debuted"
 
 
 def production_era(page: Column) -> Column:
@@ -360,8 +367,7 @@ def production_era(page: Column) -> Column:
     pairs = F.transform(ranges, lambda r: F.struct(F.substring(r, 1, 4).cast("int").alias("a"), F.substring(r, -4, 4).cast("int").alias("b")))
     good = F.filter(pairs, lambda p: ~((p["a"] == 1996) & (p["b"] >= 2020)) & (p["b"] - p["a"] <= 30) & (p["a"] >= 1960) & (p["b"] <= 2030))
     span = F.transform(good, lambda p: F.concat_ws("-", p["a"].cast("string"), p["b"].cast("string")))
-    verbs = "introduced|released|launched|produced|manufactured|first appeared|built|designed|debuted"
-    intro = _first(body, rf"(?i)(?:{verbs})[^.]{{0,60}}\b({YEAR})\b")
+    intro = _first(body, rf"(?i)(?:{INTRODUCED})[^.]{{0,60}}\b({YEAR})\b")
     years = F.filter(F.regexp_extract_all(body, F.lit(r"\b(19[6-9]\d|20[01]\d)\b"), F.lit(1)), lambda y: y.between("1963", "2025"))
 
     def most_named(ys: Column) -> Column:
@@ -429,8 +435,16 @@ def slug_tail(slug: Column) -> Column:
 
 
 #: Brands looked for in category paths, in this order.
-PATH_BRANDS = "roland korg yamaha moog sequential oberheim akai casio alesis novation behringer elektron emu fender gibson".split()
-EXACT_BRANDS = [*(b for b in PATH_BRANDS if b != "emu"), "arturia"]
+PATH_BRANDS = (
+    "roland", "korg", "yamaha", "moog", "sequential", "oberheim", "akai", "casio", "alesis", "novation", "behringer", "elektron",
+    "emu", "fender", "gibson",
+)
+#: Brands that may be a part of such a path as a whole.
+EXACT_BRANDS = (
+    "roland", "korg", "yamaha", "moog", "sequential", "oberheim", "akai", "casio", "alesis", "novation", "behringer", "elektron",
+    "fender", "gibson", "arturia",
+)
+#: Path parts that are no brand.
 NOT_BRANDS = ("synths", "effects", "accessories")
 
 
@@ -455,23 +469,34 @@ def deterministic_id(source: Column, key: Column) -> Column:
     return F.regexp_replace(F.substring(h, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def _variants(key: str, name: str) -> list[str]:
-    """Other spellings of a product: model alone, spaced and joined, with and without the brand."""
-    canonical = key.replace("-", " ")
-    words = name.split()
-    cut = next((i for i, w in enumerate(words) if i and re.match(r"[A-Z0-9]", w) and not re.match(r"[A-Z][a-z]", w)), 1)
-    brand, model = " ".join(words[:cut]).lower(), " ".join(words[cut:]).lower()
-    spaced, joined = model.replace("-", " "), re.sub(r"[-\s]", "", model)
-    found = {model, spaced, f"{brand} {spaced}".strip()}
-    if len(joined) > 2 or joined == model:
-        found.add(joined)
-    if len(joined) <= 8 and len(joined) > 1:
-        found.add(brand + joined)
-    normal = {" ".join(v.lower().split()) for v in found - {canonical, key, ""}}
-    return sorted(v for v in normal if len(v) > 1)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def synonym_variants(key: pd.Series, name: pd.Series) -> pd.Series:
-    """Sorted spelling variants of a product from its hyphenated key and its display name."""
-    return pd.Series([_variants(k or "", n or "") for k, n in zip(key, name, strict=True)])
+def synonym_variants(key: Column, name: Column) -> Column:
+    """Sorted spelling variants of a product from its hyphenated key and its display name.
+
+    The brand ends before the first later word that begins with a digit or with a capital that no small letter
+    follows, else after the first word. Variants are the model as it is, spaced or joined, alone and behind the brand;
+    joined ones only if short enough to be told apart. Nulls count as empty.
+    """
+
+    def forms(n: Column) -> Column:
+        spaced, joined = F.replace(n["model"], F.lit("-"), F.lit(" ")), F.regexp_replace(n["model"], r"[-\s]", "")
+        return F.array(
+            n["model"],
+            spaced,
+            F.concat_ws(" ", n["brand"], spaced),
+            F.when((F.length(joined) > 2) | (joined == n["model"]), joined),
+            F.when(F.length(joined).between(2, 8), F.concat(n["brand"], joined)),
+        )
+
+    def split(w: Column) -> Column:
+        starts = F.transform(w, lambda x, i: (i > 0) & x.rlike("^[A-Z0-9]") & ~x.rlike("^[A-Z][a-z]"))
+        length = F.greatest(F.array_position(starts, True) - 1, F.lit(0)).cast("int")
+        length = F.when(length == 0, 1).otherwise(length)
+        part = lambda start, n: F.lower(F.array_join(F.slice(w, start, n), " "))
+        return F.struct(part(F.lit(1), length).alias("brand"), part(length + 1, F.size(w)).alias("model"))
+
+    key = F.coalesce(key, F.lit(""))
+    words = F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda w: w != "")
+    own = F.array(key, F.replace(key, F.lit("-"), F.lit(" ")))
+    others = F.filter(F.array_compact(let(let(words, split), forms)), lambda v: ~F.array_contains(own, F.trim(v)))
+    spaced_once = F.transform(others, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    return F.array_sort(F.array_distinct(F.filter(spaced_once, lambda v: F.length(v) > 1)))

@@ -12,6 +12,7 @@ from loppis.streaming import ticks
 
 from .base import Book
 from .relational import _TIE, _TIER, TIE, items, products
+from .scalars import search_term_sql, token_score_sql
 
 book = Book()
 q = book.query
@@ -145,7 +146,19 @@ def candidates(dirty, clean):
     return similar.clean_candidates(dirty, clean)
 
 
-@q(_CAND.replace(" WHERE p_size > 40", "").replace(" WHERE p_size < 20", "").replace("JOIN k USING (p_brand)", "JOIN k USING (p_brand) WHERE id <> candidate_id"))
+_J18 = _CAND.replace(" WHERE p_size > 40", "").replace(" WHERE p_size < 20", "").replace("JOIN k USING (p_brand)", "JOIN k USING (p_brand) WHERE id <> candidate_id")
+_N = "trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))"
+#: CTEs that end in x (id, kept): of at most five candidates, those that no kept one before them is like.
+_GREEDY = f"""{_J18.replace("SELECT id, candidate_id, round(sim, 6) AS sim, rank FROM", ", r AS (SELECT id, rank, candidate_name AS name FROM")}),
+g AS (SELECT id, rank, name, {_N} AS n, list_transform(range(1, len({_N})), lambda i: substr({_N}, i, 2)) AS p FROM r),
+near AS (SELECT a.id, a.rank AS i, b.rank AS j, a.n = b.n OR 2.0 * len(list_filter(a.p, lambda y: list_contains(b.p, y))) / (len(a.p) + len(b.p)) > 0.85 AS t FROM g a JOIN g b ON a.id = b.id AND b.rank < a.rank),
+t AS (SELECT id, {", ".join(f"coalesce(bool_or(t) FILTER (WHERE i = {i} AND j = {j}), false) AS t{i}{j}" for i in range(2, 6) for j in range(1, i))} FROM near GROUP BY 1),
+k2 AS (SELECT *, NOT t21 AS k2 FROM t), k3 AS (SELECT *, NOT (t31 OR k2 AND t32) AS k3 FROM k2), k4 AS (SELECT *, NOT (t41 OR k2 AND t42 OR k3 AND t43) AS k4 FROM k3),
+k5 AS (SELECT *, NOT (t51 OR k2 AND t52 OR k3 AND t53 OR k4 AND t54) AS k5 FROM k4),
+x AS (SELECT g.id, string_agg(name, '|' ORDER BY rank) AS kept FROM g LEFT JOIN k5 USING (id) WHERE [true, k2, k3, k4, k5][rank] GROUP BY 1)"""
+
+
+@q(_J18)
 def j18_clean_candidates(spark, sf):
     p = table(spark, sf, "part")
     return candidates(p, p).select("id", "candidate_id", F.round("sim", 6).alias("sim"), "rank")
@@ -166,7 +179,7 @@ def j19_suggestion_duplicates(spark, sf):
     return suggested(table(spark, sf, "part"), table(spark, sf, "part"))
 
 
-@q()
+@q(_GREEDY + " SELECT id, kept FROM x")
 def a21_greedy_distinct(spark, sf):
     p = table(spark, sf, "part")
     five = candidates(p, p).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_name"))).alias("r"))
@@ -281,18 +294,28 @@ def c09_suggestion_mining(spark, sf):
     return new.groupBy("p_brand", "model").agg(F.count(F.lit(1)).alias("n"), F.min_by("p_name", "p_partkey").alias("name"))
 
 
-@q("""SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN regexp_matches(p_name || ' ' || (1900 + p_size) || ' relic', '\\d{4}') AND p_size % 2 = 0 THEN 'has_year' END, CASE WHEN p_size % 3 = 0 THEN 'has_condition_word' END, CASE WHEN p_size % 5 = 0 THEN 'duplicated_brand' END]) AS flag FROM part) WHERE flag IS NOT NULL GROUP BY 1""")
+_DIRTY = """p_name || CASE p_size % 4 WHEN 0 THEN ' ' || (1900 + p_size) WHEN 1 THEN ' Murphy  Lab' WHEN 2 THEN ' chitarra relic' ELSE ' with hard case strap tools and papers' END"""
+
+
+@q(rf"""WITH n AS (SELECT {_DIRTY} AS name, CASE WHEN p_type = 'SMALL' THEN 'acme-acme-one' ELSE 'acme-one' END AS slug FROM part)
+SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN regexp_matches(name, '\d{{4}}') THEN 'has_year' END, CASE WHEN regexp_matches(name, '(?i)refin|relic|aged|murphy\s+lab|played\s+in') THEN 'has_condition_word' END,
+CASE WHEN regexp_matches(name, '(?i)chitarra|basso|clavier|guitare|elektrisch|gitarre|acustica|elettrico|elettrica') THEN 'has_language_qualifier' END, CASE WHEN contains(slug, 'acme-acme') THEN 'duplicated_brand' END,
+CASE WHEN len(regexp_split_to_array(trim(name), '\s+')) > 8 THEN 'too_long' END]) AS flag FROM n) WHERE flag IS NOT NULL GROUP BY 1""")
 def c10_dirty_queue(spark, sf):
-    p = table(spark, sf, "part")
-    size = c("p_size")
-    name = F.concat_ws(" ", "p_name", F.when(size % 2 == 0, (size + 1900).cast("string")), F.when(size % 3 == 0, F.lit("relic")))
-    slug = F.when(size % 5 == 0, F.lit("acme-acme-one")).otherwise("acme-one")
-    return p.select(F.explode(text.dirty_flags(slug, name, F.lit("Acme"))).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    size = c("p_size") % 4
+    more = F.when(size == 0, (c("p_size") + 1900).cast("string")).when(size == 1, "Murphy  Lab").when(size == 2, "chitarra relic").otherwise("with hard case strap tools and papers")
+    slug = F.when(c("p_type") == "SMALL", F.lit("acme-acme-one")).otherwise("acme-one")
+    flags = text.dirty_flags(slug, F.concat_ws(" ", "p_name", more), F.lit("Acme"))
+    return table(spark, sf, "part").select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q()
+_TERMS = search_term_sql("SELECT p_partkey AS key, p_name || ' ' || p_type || ' Vintage 1983 mint' AS t FROM part")
+
+
+@q(f"{_GREEDY}, {_TERMS} SELECT id, value AS term, kept AS candidates FROM x JOIN z ON id = key")
 def c11_cleanup_candidates(spark, sf):
-    best = candidates(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_name"))).alias("r"))
+    parts = table(spark, sf, "part")
+    best = candidates(parts, parts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_name"))).alias("r"))
     p = table(spark, sf, "part").select(c("p_partkey").alias("id"), text.strip_search_term(F.concat_ws(" ", "p_name", "p_type", F.lit("Vintage 1983 mint"))).alias("term"))
     return p.join(best, "id").select("id", "term", F.array_join(similar.distinct_names(c("r.candidate_name")), "|").alias("candidates"))
 
@@ -323,24 +346,31 @@ def c13_graph_export(spark, sf):
     return n.groupBy(c("p_brand").alias("category")).agg(F.to_json(F.struct(m.alias("brands"))).alias("json"))
 
 
-@q()
+@q("""WITH p AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-' || p_partkey AS slug, p_partkey AS key, p_type AS category, p_brand AS brand, p_name AS name FROM part)
+SELECT a.slug, a.category, a.brand, a.name, b.slug AS sibling FROM p a LEFT JOIN p b ON b.key = a.key + 1""")
 def c13_graph_round_trip(spark, sf):
-    p = table(spark, sf, "part").select(F.concat_ws("-", text.slugify(c("p_name")), c("p_partkey").cast("string")).alias("slug"), c("p_type").alias("category"), c("p_brand").alias("brand"), c("p_name").alias("name"))
-    rel = p.select(c("slug").alias("from"), c("slug").alias("to"), F.lit("sibling").alias("type")).limit(0)
-    out = catalog.export_graph(p, rel, "1.0.0")
-    schema = "brands map<string,struct<products:map<string,struct<name:string>>>>"
+    p = table(spark, sf, "part").select(F.concat_ws("-", text.slugify(c("p_name")), c("p_partkey").cast("string")).alias("slug"), c("p_type").alias("category"), c("p_brand").alias("brand"), c("p_name").alias("name"), c("p_partkey").alias("key"))
+    rel = p.select(c("slug").alias("from"), (c("key") + 1).alias("key")).join(p.select(c("slug").alias("to"), "key"), "key").select("from", "to", F.lit("sibling").alias("type"))
+    out = catalog.export_graph(p.drop("key"), rel, "1.0.0")
+    schema = "brands map<string,struct<products:map<string,struct<name:string,related:array<string>>>>>"
     b = out.select("category", F.explode(F.from_json("json", schema)["brands"]).alias("brand", "b"))
-    return b.select("category", "brand", F.explode("b.products").alias("slug", "p")).select("slug", "category", "brand", "p.name")
+    return b.select("category", "brand", F.explode("b.products").alias("slug", "p")).select("slug", "category", "brand", "p.name", F.explode_outer("p.related").alias("sibling"))
+
 
+_FOUND = ["p_type || ' ' || split_part(p_name, ' ', 2)", "CASE WHEN p_size % 3 = 0 THEN p_name || ' ' || p_type || ' used' ELSE p_type || ' ' || p_brand END", "p_name || ' ' || p_brand", "p_name || ' ' || p_type"]
 
-@q("""WITH w AS (SELECT p_partkey AS id, p_brand, [p_name || ' ' || p_type, p_type, p_name] AS titles, list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: x <> '') AS want FROM part)
-SELECT id, n_tokens, score FROM (SELECT id, len(want) AS n_tokens, 1.0 AS score FROM w)""")
+
+@q(f"""WITH t AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS name, unnest([0, 1, 2]) AS arrival, unnest([{", ".join(_FOUND[:3])}]) AS title, p_size % 2 AS odd FROM part),
+s AS (SELECT *, CASE WHEN odd = arrival % 2 THEN 5 ELSE 0 END AS used, {token_score_sql("name", "title")} AS score FROM t)
+SELECT id, len(string_split(name, ' ')) AS n_tokens, score, arrival FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, used DESC, arrival) AS rn FROM s) WHERE rn = 1""")
 def c14_page_resolution(spark, sf):
-    p = table(spark, sf, "part")
+    """The best of the first three pages found for each part; a fourth, with the full name, is not considered."""
     name = F.concat_ws(" ", "p_name", "p_type")
-    titles = F.array(F.struct(F.lit(0).alias("arrival"), name.alias("title")), F.struct(F.lit(1).alias("arrival"), c("p_type").alias("title")), F.struct(F.lit(2).alias("arrival"), c("p_name").alias("title")))
-    e = p.select(c("p_partkey").alias("id"), name.alias("name"), F.explode(titles).alias("t")).withColumn("score", text.token_score(c("name"), c("t.title"))).withColumn("used", F.lit(0)).withColumn("arrival", c("t.arrival"))
-    return ranking.ranked_candidates(e, "id", "arrival", "score", "used").filter("rank = 1").select("id", F.size(text.tokens(c("name"))).cast("long").alias("n_tokens"), "score")
+    found = F.posexplode(F.array(*map(F.expr, _FOUND))).alias("arrival", "title")
+    e = table(spark, sf, "part").select(c("p_partkey").alias("id"), name.alias("name"), "p_size", found)
+    e = e.withColumn("score", text.token_score(c("name"), c("title"))).withColumn("used", F.when(c("p_size") % 2 == c("arrival") % 2, 5).otherwise(0))
+    best = ranking.ranked_candidates(e, "id", "arrival", "score", "used").filter("rank = 1")
+    return best.select("id", F.size(text.tokens(c("name"))).cast("long").alias("n_tokens"), "score", "arrival")
 
 
 @q("""SELECT l_partkey, l_orderkey, CAST(floor(l_extendedprice * CASE l_returnflag WHEN 'A' THEN 7.0 WHEN 'R' THEN 7.46 ELSE 7.0 END + 0.5) AS BIGINT) AS dkk FROM lineitem l SEMI JOIN (SELECT l_orderkey o, min(l_linenumber) m FROM lineitem GROUP BY 1) f ON l.l_orderkey = f.o AND l.l_linenumber = f.m WHERE l_quantity > 30""")

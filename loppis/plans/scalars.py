@@ -15,15 +15,18 @@ from .base import Book
 book = Book()
 
 
-def _over(name: str, source: str, key: str, made: Callable[[], dict[str, Column]], sql: dict[str, str] | None, where: str | None = None) -> None:
-    """A query of `key` and made columns (built when a session is there) over a whole table; sql: the same columns for DuckDB."""
+def _over(name: str, source: str, key: str, made: Callable[[], dict[str, Column]], sql: dict[str, str] | str, where: str | None = None) -> None:
+    """A query of `key` and made columns (built when a session is there) over a whole table; sql: the same columns for
+    DuckDB, or the whole statement."""
 
     def run(spark, sf):
         df = table(spark, sf, source)
         return (df.filter(where) if where else df).select(*key.split(", "), *[c.alias(n) for n, c in made().items()])
 
-    listed = ", ".join(f"{s} AS {n}" for n, s in (sql or {}).items())
-    book.add(name, run, f"SELECT {key}, {listed} FROM {source}{f' WHERE {where}' if where else ''}" if sql else None)
+    if isinstance(sql, dict):
+        listed = ", ".join(f"{s} AS {n}" for n, s in sql.items())
+        sql = f"SELECT {key}, {listed} FROM {source}{f' WHERE {where}' if where else ''}"
+    book.add(name, run, sql)
 
 
 T = lambda: F.col("text")
@@ -55,9 +58,21 @@ _title = lambda: F.concat_ws(" ", "p_name", "p_type", "p_brand")
 _sqltitle = "p_name || ' ' || p_type || ' ' || p_brand"
 _want = lambda: F.concat_ws(" ", F.split("p_name", " ")[1], F.lower("p_type"), F.lit("extra"))
 _sqlwant = "split_part(p_name, ' ', 2) || ' ' || lower(p_type) || ' extra'"
-_sqlshare = f"(len(list_filter({_tok.format(_sqlwant)}, lambda t: list_contains({_tok.format(_sqltitle)}, t))) / len({_tok.format(_sqlwant)}))"
-_sqlscore = f"floor((CASE WHEN starts_with(array_to_string({_tok.format(_sqltitle)}, ' '), array_to_string({_tok.format(_sqlwant)}, ' ')) THEN least(1.0, {_sqlshare} + 0.1) ELSE {_sqlshare} END) * 100 + 0.5) / 100"
-_over("f12_token_score", "part", "p_partkey", lambda: {"score": text.token_score(_want(), _title()), "own": text.token_score(F.col("p_name"), _title())}, {"score": _sqlscore, "own": "1.0"})
+
+
+def token_score_sql(want: str, title: str) -> str:
+    """DuckDB's form of the token score of two string expressions."""
+    w, t = _tok.format(want), _tok.format(title)
+    share = f"(len(list_filter({w}, lambda t: list_contains({t}, t))) / len({w}))"
+    return f"floor((CASE WHEN starts_with(array_to_string({t}, ' '), array_to_string({w}, ' ')) THEN least(1.0, {share} + 0.1) ELSE {share} END) * 100 + 0.5) / 100"
+
+
+_sqlscore = token_score_sql(_sqlwant, _sqltitle)
+_over(
+    "f12_token_score", "part", "p_partkey",
+    lambda: {"score": text.token_score(_want(), _title()), "own": text.token_score(F.col("p_name"), _title()), "back": text.token_score(_title(), F.col("p_name"))},
+    {"score": _sqlscore, "own": token_score_sql("p_name", _sqltitle), "back": token_score_sql(_sqltitle, "p_name")},
+)
 _over(
     "f13_confidence", "part", "p_partkey", lambda: {"level": text.confidence(text.token_score(_want(), _title()), F.size(text.tokens(_want())))},
     {"level": f"CASE WHEN {_sqlscore} >= 0.95 THEN 'high' WHEN {_sqlscore} >= 0.75 THEN 'medium' WHEN {_sqlscore} >= 0.5 THEN 'low' ELSE 'none' END"},
@@ -66,7 +81,26 @@ _over(
     "f14_extract_model", "part", "p_partkey", lambda: {"model": text.extract_model(F.concat_ws(" - ", F.upper("p_brand"), "p_name", "p_type"), F.col("p_brand"))},
     {"model": "left(p_name || ' - ' || p_type, 80)"},
 )
-_over("f15_strip_search_term", "documents", "doc_id", lambda: {"value": text.strip_search_term(T())}, None)
+_small = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def search_term_sql(rows: str, z: str = "z") -> str:
+    """DuckDB CTEs that end in z (key, value): the search terms of rows (key, t)."""
+    adjectives = "|".join(text.NOISE_ADJECTIVES)
+    return rf"""{z}1 AS (SELECT key, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM ({rows})),
+{z}2 AS (SELECT key, t, string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g'), '[:|*!]', '', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM {z}1),
+{z}3 AS (SELECT key, t, array_to_string(CASE WHEN len(w) > 2 AND {_small.format("w[1]")} = {_small.format("w[2]")} THEN list_concat(w[1:1], w[3:]) ELSE w END, ' ') AS u FROM {z}2),
+{z}4 AS (SELECT key, t, regexp_replace(regexp_replace(regexp_replace(u, '\s*\d{{4}}.*$', ''), '(?i)\s*\d+[-\s]?keys?\b', '', 'g'), '(?i)\b({adjectives})\b', '', 'g') AS u FROM {z}3),
+{z} AS (SELECT key, coalesce(nullif(array_to_string(string_split(trim(regexp_replace(regexp_replace(u, '[-\s]+$', ''), '\s+', ' ', 'g')), ' ')[1:4], ' '), ''), t) AS value FROM {z}4)"""
+
+
+_heads = ["", "Korg KORG Classic [x] (y) 61-Keys: ", "Moog Vintage!  ", "Roland Jupiter-8 Black | 1983 "]
+_headed = lambda: F.concat(F.element_at(F.array(*map(F.lit, _heads)), (F.col("doc_id") % 4 + 1).cast("int")), T())
+_sqlheaded = f"{_heads!r}[doc_id % 4 + 1] || text"
+_over(
+    "f15_strip_search_term", "documents", "doc_id", lambda: {"value": text.strip_search_term(T()), "headed": text.strip_search_term(_headed())},
+    f"WITH {search_term_sql('SELECT doc_id AS key, text AS t FROM documents', 'a')}, {search_term_sql(f'SELECT doc_id AS key, {_sqlheaded} AS t FROM documents', 'b')} SELECT key AS doc_id, a.value, b.value AS headed FROM a JOIN b USING (key)",
+)
 _sqlgrams = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _ga, _gb = _sqlgrams.format("p_name"), _sqlgrams.format("p_type || ' ' || p_name || ' ' || p_brand")
 _over(
@@ -79,7 +113,17 @@ _over(
     "f17_dice", "part", "p_partkey", lambda: {"sim": F.round(text.dice(F.concat("p_name", "p_name"), F.concat_ws(" ", "p_name", "p_type")), 6)},
     {"sim": f"round(2.0 * len(list_filter({_ba}, lambda g: list_contains({_bb}, g))) / (len({_ba}) + len({_bb})), 6)"},
 )
-_over("f18_clean_name", "documents", "doc_id", lambda: {"value": text.clean_name(T())}, None)
+_sqlonce = rf"CASE WHEN {_small.format('m.a')} = {_small.format('m.c')} AND m.a <> '' THEN m.a || substr({{0}}, len(m.a) + len(m.b) + len(m.c) + 1) ELSE {{0}} END"
+_sqlclean = rf"trim(regexp_replace({_sqlonce}, '(?i)\s+-\s+({'|'.join(text.COLOURS)})\s*$', ''))"
+_sqlpair = r"regexp_extract({0}, '^(\S+)(\s+)(\S+)\s', ['a', 'b', 'c'])"
+_named = lambda: F.concat(F.when(F.col("doc_id") % 3 > 0, "JoMox jomox\t").otherwise(""), T(), F.when(F.col("doc_id") % 2 == 0, " - Vintage white ").otherwise(" - "))
+_sqlnamed = "CASE WHEN doc_id % 3 > 0 THEN 'JoMox jomox' || chr(9) ELSE '' END || text || CASE WHEN doc_id % 2 = 0 THEN ' - Vintage white ' ELSE ' - ' END"
+_over(
+    "f18_clean_name", "documents", "doc_id", lambda: {"value": text.clean_name(T()), "named": text.clean_name(_named())},
+    f"""WITH d AS (SELECT doc_id, text, {_sqlnamed} AS n FROM documents)
+SELECT a.doc_id, value, named FROM (SELECT doc_id, {_sqlclean.format("text")} AS value FROM (SELECT *, {_sqlpair.format("text")} AS m FROM d)) a
+JOIN (SELECT doc_id, {_sqlclean.format("n")} AS named FROM (SELECT *, {_sqlpair.format("n")} AS m FROM d)) b USING (doc_id)""",
+)
 _flags = (
     "CASE WHEN regexp_matches(text, '\\d{4}') THEN 'has_year' END, CASE WHEN regexp_matches(text, '(?i)refin|relic|aged|murphy\\s+lab|played\\s+in') THEN 'has_condition_word' END, "
     "CASE WHEN regexp_matches(text, '(?i)chitarra|basso|clavier|guitare|elektrisch|gitarre|acustica|elettrico|elettrica') THEN 'has_language_qualifier' END, "
@@ -116,7 +160,17 @@ _over(
     "f25_is_bundle", "part", "p_partkey", lambda: {"bundle": text.is_bundle(text.sitemap_filename(_file()))},
     {"bundle": f"regexp_matches({_sqlfile}, '(?i)[_-](bundle|pack|set|kit|rig|starter|combo|value|deal)\\b')"},
 )
-_over("f26_synonym_variants", "part", "p_partkey", lambda: {"variants": F.array_join(text.synonym_variants(text.slugify(F.concat_ws(" ", "p_brand", "p_name")), F.concat_ws(" ", "p_brand", "p_name")), "|")}, None)
+_product = lambda: F.when(F.col("p_size") % 3 == 0, F.concat_ws(" ", "p_brand", "p_name", F.concat(F.lit("MX-"), F.col("p_size").cast("string")))).when(F.col("p_size") % 3 == 1, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.concat_ws(" ", F.split("p_name", " ")[0], F.concat(F.lit("X"), F.col("p_size").cast("string")), "p_type"))
+_over(
+    "f26_synonym_variants", "part", "p_partkey", lambda: {"variants": F.array_join(text.synonym_variants(text.slugify(_product()), _product()), "|")},
+    f"""WITH a AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand || ' ' || p_name || ' MX-' || p_size WHEN 1 THEN p_brand || ' ' || p_name ELSE split_part(p_name, ' ', 1) || ' X' || p_size || ' ' || p_type END AS name FROM part),
+b AS (SELECT p_partkey, {_dash.format("lower(name)")} AS key, string_split(name, ' ') AS w FROM a),
+c AS (SELECT *, coalesce(list_min(list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^([0-9]|[A-Z]([^a-z]|$))'))) - 1, 1) AS n FROM b),
+d AS (SELECT p_partkey, key, lower(array_to_string(w[1:n], ' ')) AS brand, lower(array_to_string(w[n + 1:], ' ')) AS model FROM c),
+e AS (SELECT *, replace(model, '-', ' ') AS spaced, replace(replace(model, '-', ''), ' ', '') AS joined FROM d),
+v AS (SELECT p_partkey, key, unnest([model, spaced, brand || ' ' || spaced, CASE WHEN len(joined) > 2 OR joined = model THEN joined END, CASE WHEN len(joined) BETWEEN 2 AND 8 THEN brand || joined END]) AS v FROM e)
+SELECT p_partkey, coalesce(string_agg(DISTINCT v, '|' ORDER BY v) FILTER (WHERE len(v) > 1 AND v <> key AND v <> replace(key, '-', ' ')), '') AS variants FROM v GROUP BY 1""",
+)
 _over(
     "f27_query_synonym", "part", "p_partkey", lambda: {"term": text.query_synonym(F.when(F.col("p_size") % 2 == 0, "re201").otherwise(F.col("p_name")))},
     {"term": "CASE WHEN p_size % 2 = 0 THEN 're-201' END"},
@@ -126,7 +180,29 @@ _over(
     "f28_instrument_type", "documents", "doc_id", lambda: {"kind": text.instrument_type(T())},
     {"kind": "CASE " + " ".join(f"WHEN regexp_matches({_kw}, '{y}')" + (f" AND NOT regexp_matches({_kw}, '{n}')" if n else "") + f" THEN '{k}'" for k, y, n in text.TYPE_RULES) + " ELSE 'synthesizer' END"},
 )
-_over("f29_production_era", "pages", "page_id", lambda: {"era": text.production_era(F.col("html"))}, None)
+_year = lambda n: (F.col("page_id") % n + 1970).cast("string")
+_told = lambda: F.concat(
+    F.lit(" "),
+    F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("It was Introduced by them in "), _year(29)))
+    .when(F.col("page_id") % 5 == 1, F.concat(F.lit("1996-2021, then "), _year(7), F.lit(" – "), _year(40)))
+    .when(F.col("page_id") % 5 == 2, F.concat(F.lit("in 1965, "), _year(11), F.lit(", 1964, "), _year(13), F.lit(" and 1965, 1964")))
+    .when(F.col("page_id") % 5 == 3, F.concat(F.lit("1951 to 1990, once "), _year(17)))
+    .otherwise("no year"),
+    F.lit(". "),
+)
+_YR = r"19[5-9]\d|20[012]\d"
+_over(
+    "f29_production_era", "pages", "page_id", lambda: {"era": text.production_era(F.concat("html", _told(), "html")), "none": text.production_era(F.col("html"))},
+    rf"""WITH a AS (SELECT page_id, html || ' ' || CASE page_id % 5 WHEN 0 THEN 'It was Introduced by them in ' || (1970 + page_id % 29) WHEN 1 THEN '1996-2021, then ' || (1970 + page_id % 7) || ' – ' || (1970 + page_id % 40)
+WHEN 2 THEN 'in 1965, ' || (1970 + page_id % 11) || ', 1964, ' || (1970 + page_id % 13) || ' and 1965, 1964' WHEN 3 THEN '1951 to 1990, once ' || (1970 + page_id % 17) ELSE 'no year' END || '. ' || html AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '\s+', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, substr(t, 501, greatest(len(t) - 1500, 0)) AS t FROM b),
+d AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(t, '\b({_YR})\s*[-–to]+\s*({_YR})\b'), lambda r: [CAST(left(r, 4) AS INT), CAST(right(r, 4) AS INT)]), lambda p: NOT (p[1] = 1996 AND p[2] >= 2020) AND p[2] - p[1] <= 30 AND p[1] >= 1960 AND p[2] <= 2030) AS spans,
+nullif(regexp_extract(t, '(?i)(?:{text.INTRODUCED})[^.]{{0,60}}\b({_YR})\b', 1), '') AS intro, list_filter(regexp_extract_all(t, '\b(19[6-9]\d|20[01]\d)\b'), lambda y: y BETWEEN '1963' AND '2025') AS ys FROM c),
+e AS (SELECT page_id, y, count(*) AS n, min(i) AS i FROM (SELECT page_id, unnest(ys) AS y, generate_subscripts(ys, 1) AS i FROM d) GROUP BY 1, 2 HAVING count(*) > 1),
+f AS (SELECT page_id, arg_min(y, (-n, i)) AS y FROM e GROUP BY 1)
+SELECT page_id, coalesce(spans[1][1] || '-' || spans[1][2], intro, y, '') AS era, '' AS none FROM d LEFT JOIN f USING (page_id)""",
+)
 _over(
     "f30_deterministic_id", "pages", "page_id", lambda: {"id": text.deterministic_id(F.lit("shop"), U())},
     {"id": "regexp_replace(left(sha256('shop:' || url), 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"},
