@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loppis.functions import text
+from loppis.functions import money, text
 
 S = T.StringType()
 PRODUCT = T.StructType(
@@ -91,6 +91,25 @@ def seed_categories(paths: DataFrame) -> DataFrame:
     return paths.select("slug", parts[0].alias("root"), F.when(F.size(parts) > 1, parts[0]).alias("parent"), text.slug_tail(F.col("slug")).alias("tail"))
 
 
+def category_images(roots: DataFrame, tree: DataFrame, products: DataFrame, chosen: DataFrame, least: int = 2) -> DataFrame:
+    """Roots with the image of their best active product, unless an editor chose one.
+
+    roots: id, slug, image_url. tree: id, parent_id. products: id, category_id, status, tier, hero_image_url, image_url.
+    chosen: slug, choice; a null choice keeps the root from taking a product's image. A best score below `least` or no
+    usable image leaves the old one. Ties go to the smallest product id.
+    """
+    image = F.coalesce("hero_image_url", "image_url")
+    score = money.image_score(F.col("tier"), F.col("hero_image_url"), F.col("image_url"))
+    usable = products.filter("status = 'active'").select("category_id", F.col("id").alias("product_id"), image.alias("image"), score.alias("score"))
+    usable = usable.filter((F.col("score") > 0) & (F.col("image") != "") & money.usable_image(F.col("image")))
+    below = tree.filter("parent_id IS NOT NULL").select(F.col("id").alias("category_id"), F.col("parent_id").alias("id"))
+    rank = F.struct((-F.col("score")).alias("s"), "product_id", "image")
+    best = usable.join(below, "category_id").groupBy("id").agg(F.min(rank).alias("best"))
+    picked = roots.join(best, "id", "left").join(chosen.withColumn("edited", F.lit(True)), "slug", "left")
+    found = F.when(F.col("edited").isNull() & (-F.col("best.s") >= least), F.col("best.image"))
+    return picked.select("id", "slug", F.coalesce("choice", found, "image_url").alias("image_url"))
+
+
 def roll_up(counts: DataFrame, tree: DataFrame) -> DataFrame:
     """Sums (category_id, n) at the roots: a category without a parent is its own root. tree: category_id, parent_id."""
     j = counts.join(tree, "category_id").withColumn("root_id", F.coalesce("parent_id", "category_id"))

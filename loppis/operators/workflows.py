@@ -65,9 +65,10 @@ def approve_match(matches: DataFrame, approved: DataFrame) -> DataFrame:
 def regroup(suggestions: DataFrame, groups: DataFrame, products: DataFrame) -> DataFrame:
     """Joins proposed groups back to suggestions; whoever was missed becomes a group of its own.
 
-    groups: group_name, member. suggestions: id, canonical_name, listing_count. Members nobody suggested are dropped.
+    groups: group_name, member. suggestions: id, canonical_name, listing_count. Members nobody suggested are dropped;
+    one that several groups name belongs to the first of these by name.
     """
-    member = groups.select("group_name", F.col("member").alias("canonical_name")).dropDuplicates(["canonical_name"])
+    member = groups.groupBy(F.col("member").alias("canonical_name")).agg(F.min("group_name").alias("group_name"))
     named = suggestions.join(member, "canonical_name", "left").withColumn("group_name", F.coalesce("group_name", "canonical_name"))
     grouped = named.groupBy("group_name").agg(F.sort_array(F.collect_list("id")).alias("members"), F.sum("listing_count").alias("listing_count"))
     known = products.select(F.lower("canonical_name").alias("_n")).distinct()

@@ -339,6 +339,83 @@ def c12_bulk_status(spark, sf):
     return workflows.set_status(p, p.filter("p_size > 40"), "approved").select("id", "status")
 
 
+def clean_products(spark, sf):
+    return table(spark, sf, "part").select(c("p_partkey").alias("id"), text.slugify(c("p_name")).alias("slug"), c("p_name").alias("canonical_name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("cleanup_status"), "p_size")
+
+
+@q("""SELECT p_partkey AS id, regexp_replace(lower(CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_size || ')' ELSE p_name END), '[^a-z0-9]+', '-', 'g').trim('-') AS slug, CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_size || ')' ELSE p_name END AS canonical_name,
+CASE WHEN p_size % 3 = 0 THEN 'cleaned' END AS cleanup_status FROM part""")
+def c12_self_clean(spark, sf):
+    p = clean_products(spark, sf)
+    names = p.filter("p_size % 3 = 0").select("id", F.concat(F.upper("canonical_name"), F.lit(" ("), c("p_size").cast("string"), F.lit(")")).alias("clean_name"))
+    return workflows.self_clean(p, names).select("id", "slug", "canonical_name", "cleanup_status")
+
+
+@q("SELECT p_partkey AS id, CASE WHEN p_size > 30 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN p_size > 30 THEN 'inactive' END AS cleanup_status FROM part")
+def c12_inactivate(spark, sf):
+    p = clean_products(spark, sf)
+    twice = p.filter("p_size > 30").select("id")
+    return workflows.inactivate(p, twice.unionByName(twice)).select("id", "status", "cleanup_status")
+
+
+def suggestions(spark, sf):
+    """Suggestions made of parts; their names repeat."""
+    p = table(spark, sf, "part")
+    return p.select(c("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("canonical_name"), c("p_brand").alias("brand_id"), c("p_type").alias("category_id"), F.lit("pending").alias("status"), c("p_size").alias("listing_count"))
+
+
+def accepted(spark, sf):
+    """Products whose names some suggestions take."""
+    p = table(spark, sf, "part").filter("p_type = 'SMALL'").select(F.concat_ws(" ", "p_name", "p_type").alias("canonical_name")).distinct()
+    return p.select(text.slugify(c("canonical_name")).alias("slug"), "canonical_name", F.lit("old").alias("brand_id"), F.lit("old").alias("category_id"), F.lit("active").alias("status"), F.lit("classic").alias("tier"))
+
+
+_SUG = """WITH s AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS canonical_name, p_brand, p_type, p_size FROM part),
+old AS (SELECT DISTINCT replace(lower(p_name || ' ' || p_type), ' ', '-') AS slug, p_name || ' ' || p_type AS canonical_name FROM part WHERE p_type = 'SMALL')"""
+
+
+@q(_SUG + """ SELECT slug, canonical_name, 'classic' AS tier, 'active' AS status FROM old
+UNION ALL SELECT DISTINCT replace(lower(canonical_name), ' ', '-'), canonical_name, 'standard', 'active' FROM s WHERE p_size % 2 = 0 AND p_type <> 'SMALL'""")
+def c12_approve(spark, sf):
+    s = suggestions(spark, sf)
+    return workflows.approve(s, accepted(spark, sf), s.filter("listing_count % 2 = 0"))[1].select("slug", "canonical_name", "tier", "status")
+
+
+@q("SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'pending' ELSE 'approved' END AS status FROM part")
+def c12_send_back(spark, sf):
+    s = suggestions(spark, sf).withColumn("status", F.lit("approved"))
+    return workflows.set_status(s, s.filter("listing_count > 25"), "pending").select("id", "status")
+
+
+@q("""WITH m AS (SELECT l_orderkey AS listing_id, l_partkey AS product_id, max(l_quantity) AS score FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2),
+a AS (SELECT DISTINCT l_orderkey AS listing_id, l_partkey AS product_id FROM lineitem WHERE l_returnflag = 'R')
+SELECT listing_id, product_id, CASE WHEN a.listing_id IS NULL THEN 'FUZZY' ELSE 'MANUAL' END AS method, CASE WHEN a.listing_id IS NULL THEN CAST(score AS INT) ELSE 100 END AS score FROM m FULL JOIN a USING (listing_id, product_id)""")
+def c12_approve_match(spark, sf):
+    keys = [c("l_orderkey").alias("listing_id"), c("l_partkey").alias("product_id")]
+    m = items(spark, sf).filter("l_quantity > 30").groupBy(*keys).agg(F.lit("FUZZY").alias("method"), F.max("l_quantity").cast("int").alias("score"))
+    return workflows.approve_match(m, items(spark, sf).filter("l_returnflag = 'R'").select(*keys))
+
+
+@q(_SUG + """, g AS (SELECT canonical_name, min(p_name) AS group_name FROM s JOIN (SELECT DISTINCT p_name, p_type FROM part) USING (p_type) WHERE p_size > 0 AND p_type = 'LARGE' GROUP BY 1)
+SELECT group_name, array_to_string(list_sort(list(id)), ',') AS members, sum(p_size) AS listing_count, group_name IN (SELECT canonical_name FROM old) AS "exists" FROM (SELECT id, p_size, coalesce(g.group_name, canonical_name) AS group_name FROM s LEFT JOIN g USING (canonical_name)) GROUP BY 1""")
+def c12_regroup(spark, sf):
+    """Two groups claim each large item: one by its own name, and the first of all, which wins."""
+    s = suggestions(spark, sf)
+    large = table(spark, sf, "part").filter("p_type = 'LARGE'")
+    first = large.agg(F.min("p_name")).scalar()
+    own = large.select(c("p_name").alias("group_name"), F.concat_ws(" ", "p_name", "p_type").alias("member"))
+    both = own.unionByName(own.select(first.alias("group_name"), "member")).unionByName(own.select("group_name", F.lit("nobody's").alias("member")))
+    return workflows.regroup(s, both, accepted(spark, sf)).select("group_name", F.array_join("members", ",").alias("members"), "listing_count", "exists")
+
+
+@q("SELECT p_type AS slug, p_size AS category, count(*) AS n FROM part WHERE p_type IN ('SMALL', 'LARGE') GROUP BY 1, 2 UNION ALL SELECT 'MISSING', -1, 1")
+def c12_known_only(spark, sf):
+    p = table(spark, sf, "part")
+    assigned = p.groupBy(c("p_type").alias("slug"), c("p_size").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    good, rest = workflows.known_only(assigned, spark.createDataFrame([("SMALL",), ("LARGE",), ("MISSING",)], "slug string"))
+    return good.unionByName(rest.select("slug", F.lit(-1).alias("category"), F.lit(1).cast("long").alias("n")))
+
+
 @q("SELECT p_brand AS category, '{\"brands\":{\"' || string_agg(p_type || '\":{\"products\":' || n || '}', ',\"' ORDER BY p_type) || '}}' AS json FROM (SELECT p_brand, p_type, count(*) n FROM part GROUP BY 1, 2) GROUP BY 1")
 def c13_graph_export(spark, sf):
     n = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("products"))
@@ -397,6 +474,24 @@ def c18_category_seed(spark, sf):
     return catalog.seed_categories(paths)
 
 
+@q(f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 25 AS cat, p_partkey % 11 > 0 AS active, CASE WHEN p_partkey % 5 = 0 THEN 'standard' ELSE {_TIER} END AS tier,
+CASE WHEN p_partkey % 5 > 0 AND p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 7 = 0 THEN 'thumb72x72/' ELSE 'hero/' END || p_partkey END AS hero, CASE WHEN p_partkey % 2 = 0 THEN 'img/' || p_partkey END AS img FROM part),
+b AS (SELECT n_regionkey, arg_min(coalesce(hero, img), (-score, id)) AS img, max(score) AS score FROM (SELECT *, CASE WHEN tier = 'legendary' AND hero IS NOT NULL THEN 6 WHEN tier = 'classic' AND hero IS NOT NULL THEN 5 WHEN tier = 'legendary' AND img IS NOT NULL THEN 4 WHEN tier = 'classic' AND img IS NOT NULL THEN 3 WHEN hero IS NOT NULL THEN 2 WHEN img IS NOT NULL THEN 1 ELSE 0 END AS score FROM p WHERE active)
+JOIN nation ON cat = n_nationkey WHERE score > 0 AND NOT contains(coalesce(hero, img), 'thumb72x72') GROUP BY 1)
+SELECT r_regionkey AS id, r_name AS slug, CASE WHEN r_name = 'ASIA' THEN 'editor.jpg' WHEN r_name <> 'EUROPE' AND score >= 2 THEN img ELSE 'old.jpg' END AS image_url FROM region LEFT JOIN b ON r_regionkey = n_regionkey""")
+def c18_category_images(spark, sf):
+    roots = table(spark, sf, "region").select(c("r_regionkey").alias("id"), c("r_name").alias("slug"), F.lit("old.jpg").alias("image_url"))
+    tree = table(spark, sf, "nation").select(c("n_nationkey").alias("id"), c("n_regionkey").alias("parent_id"))
+    key = c("p_partkey")
+    hero = F.when((key % 5 > 0) & (key % 3 == 0), F.concat(F.when(key % 7 == 0, "thumb72x72/").otherwise("hero/"), key.cast("string")))
+    p = products(spark, sf).select(
+        key.alias("id"), (key % 25).cast("int").alias("category_id"), F.when(key % 11 > 0, "active").otherwise("inactive").alias("status"), F.when(key % 5 == 0, "standard").otherwise(c("tier")).alias("tier"),
+        hero.alias("hero_image_url"), F.when(key % 2 == 0, F.concat(F.lit("img/"), key.cast("string"))).alias("image_url"),
+    )
+    chosen = spark.createDataFrame([("ASIA", "editor.jpg"), ("EUROPE", None)], "slug string, choice string")
+    return catalog.category_images(roots, tree, p, chosen)
+
+
 @q("SELECT count(*) AS total, count(*) FILTER (WHERE p_size > 10) AS typed, round(100.0 * count(*) FILTER (WHERE p_size > 10) / count(*), 1) AS percent, (SELECT max(n) FROM (SELECT count(*) n FROM part GROUP BY p_type)) AS largest FROM part")
 def c19_coverage(spark, sf):
     p = table(spark, sf, "part")
