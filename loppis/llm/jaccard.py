@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Sets are put in one global order
 document frequencies. Two sets that reach the threshold share a shingle in their prefixes (the first |x| - ceil(t |x|)
 + 1 of each); shingles that occur in one document only link nothing, so most documents drop out at once. Groups of
 documents that share prefix shingles are stored in a prefix tree, which is traversed once with the overlap of every
-set kept along the path: sets that share a path share the counting, and a subtree is left as soon as the remaining
-length cannot lift any set to the threshold.
+set kept along the path: sets that share a path share the counting. A subtree is left as soon as the remaining length
+cannot lift any set outside it to the threshold and no two of its own sets are of close enough sizes.
 
 Identical sets are one set with members; copies are never expanded into pairs. A large group is dealt to tiles of
 bounded size. First each tile meets itself and a few pivots of the group, which joins clusters of near copies at a cost
@@ -182,8 +182,9 @@ class PrefixTree:
             least = int(self.size[lo:hi].min())
             reach = np.minimum(overlap + rest, self.size)
             alive = 100 * reach >= percent * (self.size + least - np.minimum(reach, least))
-            if hi - lo == 1:  # with itself alone it has nothing to link
-                alive[lo] = False
+            # pairs within the subtree: only if two neighbouring sizes are close enough, which one set alone never is
+            inside = np.sort(self.size[lo:hi])
+            alive[lo:hi] = bool((100 * inside[:-1] >= percent * inside[1:]).any())
             if not alive.any():
                 continue
             i = lo

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -69,6 +70,33 @@ def test_join_equals_all_pairs(spark, percent, tile_size):
     assert len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_prefix_tree_equals_all_pairs(percent):
+    rng = random.Random(percent)
+    for _ in range(150):
+        given = {tuple(sorted(rng.sample(range(12), rng.randint(1, 9)))) for _ in range(rng.randint(1, 25))}
+        sets = [np.array(x) for x in sorted(given, key=lambda _: rng.random())]
+
+        def groups_of(pairs, n=len(sets)):
+            label = list(range(n))
+            for a, b in pairs:
+                label = [label[a] if x == label[b] else x for x in label]
+            return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+        near = lambda a, b: 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+        found = jaccard.PrefixTree(sets).links(percent)
+        assert all(near(sets[i], sets[j]) for i, j in found)
+        assert groups_of(found) == groups_of(pairs)
+
+
+def test_prefix_tree_leaves_subtrees_of_unlike_sizes(monkeypatch):
+    """Each set begins the next and has twice its length: nothing can link, so only the root's path is counted."""
+    tree, calls, gain = jaccard.PrefixTree([np.arange(2**k) for k in range(9)]), [], jaccard.PrefixTree._gain
+    monkeypatch.setattr(jaccard.PrefixTree, "_gain", lambda self, tokens: calls.append(len(tokens)) or gain(self, tokens))
+    assert tree.links(80) == [] and calls == [1]
+
+
 def test_join_of_a_large_group_of_near_copies(spark):
     """One group of far more sets than a tile holds: two clusters of near copies, chains and loners, all exact."""
     r = random.Random(21)
