@@ -81,21 +81,27 @@ def resolve_canonical(canonicals: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def cascade(listings: DataFrame, identifiers: DataFrame, synonyms: DataFrame, models: DataFrame, listing_id: str = "listing_id", title: str = "title") -> DataFrame:
-    """(listing_id, product_id, method, score): the best tier of each listing.
+    """(listing_id, product_id, method, score, explain): the best tier of each listing, explained as JSON.
 
     identifiers: product_id, type, value, seq (types SKU and MODEL match, 95). synonyms: product_id (null if its
-    canonical name resolves to none), alias, match_type, priority, seq ("abbrev" never matches, 80). models:
-    product_id, model, seq (the name or its form with spaces for hyphens, 70). The first hit of a tier wins; a
-    synonym without a product is skipped, not final.
+    canonical name resolves to none), alias, canonical_query (optional), match_type, priority, seq (only "alias" matches,
+    80). models: product_id, model, seq (the name or its form with spaces for hyphens, as MODEL, 70). The first hit of a
+    tier wins; a synonym without a product is skipped, not final.
     """
-    spaced = models.withColumn("model", F.explode(F.array_distinct(F.array("model", F.replace("model", F.lit("-"), F.lit(" "))))))
+
+    def tier(rows: DataFrame, token: Column, method: Column, score: int, priority: Column, *explain: Column) -> DataFrame:
+        return rows.select("product_id", token.alias("token"), method.alias("method"), F.lit(score).alias("score"), priority.alias("priority"), "seq", F.to_json(F.struct(*explain)).alias("explain"))
+
+    query = F.col("canonical_query") if "canonical_query" in synonyms.columns else F.lit(None).cast("string")
+    trimmed = F.trim("model")
+    spaced = models.filter("model IS NOT NULL").withColumn("_form", F.explode(F.array_distinct(F.array(trimmed, F.replace(trimmed, F.lit("-"), F.lit(" "))))))
     dictionary = (
-        identifiers.filter(F.col("type").isin("SKU", "MODEL")).select("product_id", F.col("value").alias("token"), F.col("type").alias("method"), F.lit(95).alias("score"), F.lit(0).alias("priority"), "seq")
-        .unionByName(synonyms.filter((F.col("match_type") != "abbrev") & F.col("product_id").isNotNull()).select("product_id", F.col("alias").alias("token"), F.lit("SYNONYM").alias("method"), F.lit(80).alias("score"), (-F.col("priority")).alias("priority"), "seq"))
-        .unionByName(spaced.filter(F.col("model").isNotNull()).select("product_id", F.col("model").alias("token"), F.lit("FUZZY").alias("method"), F.lit(70).alias("score"), F.lit(0).alias("priority"), "seq"))
+        tier(identifiers.filter(F.col("type").isin("SKU", "MODEL")), F.col("value"), F.col("type"), 95, F.lit(0), F.col("value").alias("matched_identifier"), F.col("type"))
+        .unionByName(tier(synonyms.filter((F.col("match_type") == "alias") & F.col("product_id").isNotNull()), F.col("alias"), F.lit("SYNONYM"), 80, -F.col("priority"), F.col("alias").alias("matched_alias"), query.alias("canonical_query")))
+        .unionByName(tier(spaced, F.col("_form"), F.lit("MODEL"), 70, F.lit(0), F.col("model").alias("matched_model_name")))
     )
     hits = token_hits(listings.select(listing_id, title), dictionary, listing_id, title, "token")
-    return first_by(hits, [listing_id], [F.col("score").desc(), F.col("priority"), F.col("seq"), F.col("product_id")]).select(listing_id, "product_id", "method", "score")
+    return first_by(hits, [listing_id], [F.col("score").desc(), F.col("priority"), F.col("seq"), F.col("product_id")]).select(listing_id, "product_id", "method", "score", "explain")
 
 
 def unique_name_join(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:

@@ -1,52 +1,11 @@
-"""Review workflows as pure functions from tables to tables."""
+"""Statuses in bulk, and what becomes of proposed groups and classes; single decisions are in `review`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loppis.functions import text
-
-from .writes import delete_keys, insert_ignore, update_where
-
-
-def merge_products(matches: DataFrame, products: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Moves the matches of dirty products to clean ones and retires the dirty products.
-
-    merges: dirty_id, clean_id. Moved matches keep method and score; a match that the clean product has already wins.
-    """
-    moved = matches.join(merges, matches.product_id == merges.dirty_id).select(*[F.col("clean_id").alias(c) if c == "product_id" else F.col(c) for c in matches.columns])
-    left = delete_keys(matches, merges.select(F.col("dirty_id").alias("product_id")), ["product_id"])
-    done = insert_ignore(left, moved, ["listing_id", "product_id"], [F.col("score").desc(), F.col("listing_id")])
-    gone = merges.select(F.col("dirty_id").alias("id"), F.lit(True).alias("_gone")).distinct()
-    flagged = products.join(gone, "id", "left")
-    retired = update_where(flagged, F.col("_gone"), {"status": F.lit("inactive"), "cleanup_status": F.lit("merged")}).drop("_gone")
-    return done, retired
-
-
-def self_clean(products: DataFrame, names: DataFrame) -> DataFrame:
-    """Products under their cleaned names: names has (id, clean_name); slug and name change, the rest stays."""
-    joined = products.join(names.select("id", "clean_name"), "id", "left")
-    new = F.coalesce("clean_name", "canonical_name")
-    return update_where(joined, F.col("clean_name").isNotNull(), {"slug": text.slugify(new), "canonical_name": new, "cleanup_status": F.lit("cleaned")}).drop("clean_name")
-
-
-def inactivate(products: DataFrame, ids: DataFrame) -> DataFrame:
-    mark = ids.select("id", F.lit(True).alias("_gone")).distinct()
-    return update_where(products.join(mark, "id", "left"), F.col("_gone"), {"status": F.lit("inactive"), "cleanup_status": F.lit("inactive")}).drop("_gone")
-
-
-def approve(suggestions: DataFrame, products: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Approved suggestions become products unless their slug is taken; the suggestions are marked.
-
-    approved: id. Products get the suggestion's brand, category and name.
-    """
-    chosen = suggestions.join(approved.select("id").distinct(), "id", "left_semi")
-    rows = chosen.select(
-        text.slugify(F.col("canonical_name")).alias("slug"), "canonical_name", "brand_id", "category_id", F.lit("active").alias("status"), F.lit("standard").alias("tier")
-    )
-    grown = insert_ignore(products, rows, ["slug"], [F.col("canonical_name")])
-    return set_status(suggestions, approved, "approved"), grown
+from .writes import update_where
 
 
 def set_status(suggestions: DataFrame, ids: DataFrame, status: str) -> DataFrame:
@@ -55,13 +14,6 @@ def set_status(suggestions: DataFrame, ids: DataFrame, status: str) -> DataFrame
     return update_where(suggestions.join(mark, "id", "left"), F.col("_hit"), {"status": F.lit(status)}).drop("_hit")
 
 
-def approve_match(matches: DataFrame, approved: DataFrame) -> DataFrame:
-    """Manual approvals score 100 and replace a weaker match of the same listing and product."""
-    rows = approved.select("listing_id", "product_id").distinct().withColumns({"method": F.lit("MANUAL"), "score": F.lit(100)})
-    rest = delete_keys(matches, rows, ["listing_id", "product_id"])
-    return rest.unionByName(rows, allowMissingColumns=True)
-
-
 def regroup(suggestions: DataFrame, groups: DataFrame, products: DataFrame) -> DataFrame:
     """Joins proposed groups back to suggestions; whoever was missed becomes a group of its own.
 

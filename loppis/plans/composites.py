@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loppis.functions import money, stats, text
-from loppis.operators import catalog, matching, ranking, similar, workflows, writes
+from loppis.operators import catalog, matching, ranking, review, similar, workflows, writes
 from loppis.session import table
 from loppis.sources import extract
 from loppis.streaming import ticks
@@ -190,11 +190,11 @@ def a21_greedy_distinct(spark, sf):
 
 _W = "regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_-]+')"
 _C01 = f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark),
-d AS (SELECT item_id AS product_id, w[3] AS token, CASE item_id % 3 WHEN 0 THEN 'EAN' WHEN 1 THEN 'SKU' ELSE 'MODEL' END AS method, 95 AS score, 0 AS priority FROM b WHERE item_id % 3 > 0
-UNION ALL SELECT item_id, w[5], 'SYNONYM', 80, -(item_id % 2) FROM b WHERE item_id % 5 > 0
-UNION ALL SELECT item_id, w[7], 'FUZZY', 70, 0 FROM b),
+d AS (SELECT item_id AS product_id, w[3] AS token, CASE item_id % 3 WHEN 1 THEN 'SKU' ELSE 'MODEL' END AS method, 95 AS score, 0 AS priority, '{{"matched_identifier":"' || w[3] || '","type":"' || CASE item_id % 3 WHEN 1 THEN 'SKU' ELSE 'MODEL' END || '"}}' AS explain FROM b WHERE item_id % 3 > 0
+UNION ALL SELECT item_id, w[5], 'SYNONYM', 80, -(item_id % 2), '{{"matched_alias":"' || w[5] || '","canonical_query":"q' || item_id || '"}}' FROM b WHERE item_id % 5 > 0 AND item_id % 7 < 5
+UNION ALL SELECT item_id, w[7], 'MODEL', 70, 0, '{{"matched_model_name":"' || w[7] || '"}}' FROM b),
 h AS (SELECT doc_id AS listing_id, d.* FROM documents JOIN d ON len(token) >= 3 AND regexp_matches(' ' || text || ' ', '(?i)[^\\w-]' || token || '[^\\w-]'))
-SELECT listing_id, product_id, method, score FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, priority, product_id) rn FROM h) WHERE rn = 1"""
+SELECT listing_id, product_id, method, score, explain FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, priority, product_id) rn FROM h) WHERE rn = 1"""
 
 
 def matcher_tables(spark, sf):
@@ -202,7 +202,7 @@ def matcher_tables(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Za-z0-9_-]+)"), F.lit(1)).alias("w"))
     i = c("item_id")
     identifiers = b.select(i.alias("product_id"), F.get("w", F.lit(2)).alias("value"), F.when(i % 3 == 0, "EAN").when(i % 3 == 1, "SKU").otherwise("MODEL").alias("type"), i.alias("seq"))
-    synonyms = b.select(F.when(i % 5 > 0, i).alias("product_id"), F.get("w", F.lit(4)).alias("alias"), F.lit("alias").alias("match_type"), (i % 2).alias("priority"), i.alias("seq"))
+    synonyms = b.select(F.when(i % 5 > 0, i).alias("product_id"), F.get("w", F.lit(4)).alias("alias"), F.concat(F.lit("q"), i.cast("string")).alias("canonical_query"), F.when(i % 7 < 5, "alias").when(i % 7 == 5, "exact").otherwise("abbrev").alias("match_type"), (i % 2).alias("priority"), i.alias("seq"))
     models = b.select(i.alias("product_id"), F.get("w", F.lit(6)).alias("model"), i.alias("seq"))
     return identifiers, synonyms, models
 
@@ -324,13 +324,12 @@ _M = """WITH m AS (SELECT l_orderkey AS listing_id, l_partkey AS product_id, max
 g AS (SELECT p_partkey AS dirty_id, p_partkey - 1 AS clean_id FROM part WHERE p_partkey % 10 = 1)"""
 
 
-@q(_M + """, left_ AS (SELECT * FROM m WHERE product_id NOT IN (SELECT dirty_id FROM g)), moved AS (SELECT listing_id, clean_id AS product_id, score FROM m JOIN g ON product_id = dirty_id)
-SELECT * FROM left_ UNION ALL SELECT listing_id, product_id, max(score) FROM moved ANTI JOIN left_ USING (listing_id, product_id) GROUP BY 1, 2""")
+@q(_M + " SELECT * FROM m UNION ALL SELECT listing_id, clean_id, score FROM m JOIN g ON product_id = dirty_id ANTI JOIN (SELECT listing_id, product_id AS clean_id FROM m) USING (listing_id, clean_id)")
 def c12_merge(spark, sf):
-    m = items(spark, sf).filter("l_quantity > 40").groupBy(c("l_orderkey").alias("listing_id"), c("l_partkey").alias("product_id")).agg(F.max("l_quantity").alias("score"))
+    m = items(spark, sf).filter("l_quantity > 40").groupBy(c("l_orderkey").alias("listing_id"), c("l_partkey").alias("product_id")).agg(F.max("l_quantity").alias("score"), F.lit("FUZZY").alias("method"))
     p = table(spark, sf, "part").select(c("p_partkey").alias("id"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("cleanup_status"))
-    g = p.filter("id % 10 = 1").select(c("id").alias("dirty_id"), (c("id") - 1).alias("clean_id"))
-    return workflows.merge_products(m, p, g)[0]
+    g = p.filter("id % 10 = 1").select(c("id").alias("dirty_id"), (c("id") - 1).alias("clean_id"), F.lit(1).alias("decided_at"))
+    return review.merge_into(m, p, g)["matches"].drop("method")
 
 
 @q("SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'approved' ELSE 'pending' END AS status FROM part")
@@ -343,19 +342,22 @@ def clean_products(spark, sf):
     return table(spark, sf, "part").select(c("p_partkey").alias("id"), text.slugify(c("p_name")).alias("slug"), c("p_name").alias("canonical_name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("cleanup_status"), "p_size")
 
 
-@q("""SELECT p_partkey AS id, regexp_replace(lower(CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_size || ')' ELSE p_name END), '[^a-z0-9]+', '-', 'g').trim('-') AS slug, CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_size || ')' ELSE p_name END AS canonical_name,
-CASE WHEN p_size % 3 = 0 THEN 'cleaned' END AS cleanup_status FROM part""")
+@q("""WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, upper(p_name) || ' (' || p_partkey || ')' AS clean, p_size % 3 = 0 AS dirty FROM part)
+SELECT id, 'old-' || id AS slug, p_name AS canonical_name, CASE WHEN dirty THEN 'inactive' ELSE 'active' END AS status, CASE WHEN dirty THEN 'merged' END AS cleanup_status FROM n
+UNION ALL SELECT regexp_replace(left(sha256('kg_product:' || replace(lower(p_name), ' ', '-') || '-' || id), 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5'), replace(lower(p_name), ' ', '-') || '-' || id, clean, 'active', 'clean' FROM n WHERE dirty""")
 def c12_self_clean(spark, sf):
-    p = clean_products(spark, sf)
-    names = p.filter("p_size % 3 = 0").select("id", F.concat(F.upper("canonical_name"), F.lit(" ("), c("p_size").cast("string"), F.lit(")")).alias("clean_name"))
-    return workflows.self_clean(p, names).select("id", "slug", "canonical_name", "cleanup_status")
+    """A dirty product gives way to a new one under its clean name."""
+    p = clean_products(spark, sf).withColumn("id", c("id").cast("string")).withColumn("slug", F.concat(F.lit("old-"), "id"))
+    names = p.filter("p_size % 3 = 0").select(c("id").alias("dirty_id"), F.concat(F.upper("canonical_name"), F.lit(" ("), "id", F.lit(")")).alias("clean_name"), F.lit(1).alias("decided_at"))
+    none = spark.createDataFrame([], "listing_id string, product_id string, method string, score int")
+    return review.clean_by_name(none, p.drop("p_size"), names)["products"]
 
 
-@q("SELECT p_partkey AS id, CASE WHEN p_size > 30 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN p_size > 30 THEN 'inactive' END AS cleanup_status FROM part")
+@q("SELECT p_partkey AS id, CASE WHEN p_size > 30 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN p_size > 30 THEN 'inactivated' END AS cleanup_status FROM part")
 def c12_inactivate(spark, sf):
     p = clean_products(spark, sf)
     twice = p.filter("p_size > 30").select("id")
-    return workflows.inactivate(p, twice.unionByName(twice)).select("id", "status", "cleanup_status")
+    return review.inactivate(p, twice.unionByName(twice)).select("id", "status", "cleanup_status")
 
 
 def suggestions(spark, sf):
@@ -377,8 +379,12 @@ old AS (SELECT DISTINCT replace(lower(p_name || ' ' || p_type), ' ', '-') AS slu
 @q(_SUG + """ SELECT slug, canonical_name, 'classic' AS tier, 'active' AS status FROM old
 UNION ALL SELECT DISTINCT replace(lower(canonical_name), ' ', '-'), canonical_name, 'standard', 'active' FROM s WHERE p_size % 2 = 0 AND p_type <> 'SMALL'""")
 def c12_approve(spark, sf):
-    s = suggestions(spark, sf)
-    return workflows.approve(s, accepted(spark, sf), s.filter("listing_count % 2 = 0"))[1].select("slug", "canonical_name", "tier", "status")
+    s = suggestions(spark, sf).withColumns({n: F.lit(None).cast("string") for n in ("reviewed_by", "reviewed_at", "notes")})
+    old = accepted(spark, sf).withColumn("id", c("slug"))
+    chosen = s.filter("listing_count % 2 = 0").select("id", F.lit("approve").alias("action"), F.lit("").alias("canonical_name"), F.lit("").alias("model_name"), F.lit("").alias("product_id"), F.lit("me").alias("reviewer"), F.lit("today").alias("decided_at"))
+    synonyms = spark.createDataFrame([], "alias string, product_id string, canonical_query string, match_type string, lang string, priority int")
+    matches = spark.createDataFrame([], "listing_id string, product_id string, method string, score int, explain string")
+    return review.decide(s, old, synonyms, matches, chosen)["products"].select("slug", "canonical_name", "tier", "status")
 
 
 @q("SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'pending' ELSE 'approved' END AS status FROM part")
@@ -389,11 +395,11 @@ def c12_send_back(spark, sf):
 
 @q("""WITH m AS (SELECT l_orderkey AS listing_id, l_partkey AS product_id, max(l_quantity) AS score FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2),
 a AS (SELECT DISTINCT l_orderkey AS listing_id, l_partkey AS product_id FROM lineitem WHERE l_returnflag = 'R')
-SELECT listing_id, product_id, CASE WHEN a.listing_id IS NULL THEN 'FUZZY' ELSE 'MANUAL' END AS method, CASE WHEN a.listing_id IS NULL THEN CAST(score AS INT) ELSE 100 END AS score FROM m FULL JOIN a USING (listing_id, product_id)""")
+SELECT listing_id, product_id, CASE WHEN a.listing_id IS NULL THEN 'SKU' ELSE 'FUZZY' END AS method, CASE WHEN a.listing_id IS NULL THEN CAST(score AS INT) ELSE 100 END AS score FROM m FULL JOIN a USING (listing_id, product_id)""")
 def c12_approve_match(spark, sf):
     keys = [c("l_orderkey").alias("listing_id"), c("l_partkey").alias("product_id")]
-    m = items(spark, sf).filter("l_quantity > 30").groupBy(*keys).agg(F.lit("FUZZY").alias("method"), F.max("l_quantity").cast("int").alias("score"))
-    return workflows.approve_match(m, items(spark, sf).filter("l_returnflag = 'R'").select(*keys))
+    m = items(spark, sf).filter("l_quantity > 30").groupBy(*keys).agg(F.lit("SKU").alias("method"), F.max("l_quantity").cast("int").alias("score"))
+    return review.confirm_matches(m, items(spark, sf).filter("l_returnflag = 'R'").select(*keys))
 
 
 @q(_SUG + """, g AS (SELECT canonical_name, min(p_name) AS group_name FROM s JOIN (SELECT DISTINCT p_name, p_type FROM part) USING (p_type) WHERE p_size > 0 AND p_type = 'LARGE' GROUP BY 1)

@@ -276,7 +276,7 @@ def st11_incremental_matching(spark, sf):
     """Landed listings matched in ticks; a second run over the same files finds nothing left to match."""
     folder = shared_folder(spark)
     tables = matcher_tables(spark, sf)
-    schema = "listing_id long, product_id long, method string, score int"
+    schema = "listing_id long, product_id long, method string, score int, explain string"
     none = spark.createDataFrame([], schema)
     for run in range(2):
         old = spark.read.schema(schema).parquet(f"{folder}/rows") if run else none

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import composites, landed, pricing, relational, scalars, site
+from . import composites, desk, landed, pricing, relational, scalars, site
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (pricing, scalars, relational, composites, landed, site):
+for _module in (pricing, scalars, relational, composites, landed, site, desk):
     QUERIES |= _module.book.queries
     ORACLE_SQL |= _module.book.oracle_sql

@@ -174,10 +174,12 @@ def test_matcher_cascade(spark):
     """Identifiers beat synonyms beat models; EAN and abbreviations never match; unresolved synonyms are skipped."""
     listings = spark.createDataFrame([(1, "roland juno-60 synth"), (2, "space echo unit"), (3, "juno 106 ok"), (4, "ean 12345"), (5, None)], "listing_id long, title string")
     ids = spark.createDataFrame([(10, "juno-60", "SKU", 1), (11, "12345", "EAN", 2)], "product_id long, value string, type string, seq long")
-    syn = spark.createDataFrame([(None, "space echo", "alias", 9, 1), (20, "space echo", "alias", 5, 2), (21, "unit", "abbrev", 9, 3)], "product_id long, alias string, match_type string, priority int, seq long")
-    models = spark.createDataFrame([(30, "Juno-106", 1), (31, "Juno-60", 2)], "product_id long, model string, seq long")
+    syn = spark.createDataFrame([(None, "space echo", "alias", 9, 1), (20, "space echo", "alias", 5, 2), (21, "unit", "abbrev", 9, 3), (22, "ean", "exact", 9, 4)], "product_id long, alias string, match_type string, priority int, seq long")
+    models = spark.createDataFrame([(30, " Juno-106", 1), (31, "Juno-60", 2), (32, None, 3)], "product_id long, model string, seq long")
+    told = {r.listing_id: r.explain for r in matching.cascade(listings, ids, syn, models).collect()}
+    assert told == {1: '{"matched_identifier":"juno-60","type":"SKU"}', 2: '{"matched_alias":"space echo"}', 3: '{"matched_model_name":" Juno-106"}'}
     got = {r.listing_id: (r.product_id, r.method, r.score) for r in matching.cascade(listings, ids, syn, models).collect()}
-    assert got == {1: (10, "SKU", 95), 2: (20, "SYNONYM", 80), 3: (30, "FUZZY", 70)}
+    assert got == {1: (10, "SKU", 95), 2: (20, "SYNONYM", 80), 3: (30, "MODEL", 70)}
 
 
 def test_null_keys_in_both_modes(spark):
