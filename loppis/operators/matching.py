@@ -112,28 +112,45 @@ def unique_name_join(left: DataFrame, right: DataFrame, left_id: str, left_name:
     return j.select(left_id, F.when(F.col("_n") == 1, F.col("_id")).alias(right_id), verdict.alias("verdict"))
 
 
-def longest_contained(titles: DataFrame, names: DataFrame, title_id: str, title: str, name_id: str, name: str, longest: int = 4) -> DataFrame:
-    """(title_id, name_id): the longest name that a title contains as a substring, lowest id on ties.
+def _pieces(x: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(x) - (size - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(x, i, F.lit(size))))
 
-    Names are found by their first three characters in the title, so only titles that hold these are compared.
+
+def contained_pairs(texts: DataFrame, names: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """(on, _text, _name): each different text with each different name of the same group that it contains; empty names
+    are in none.
+
+    A name is looked for by that of its three-character pieces which the fewest texts of its group hold, so a piece that many
+    texts or names share is a key only for names that have no other, and a name with a piece that no text has falls away.
+    Names of one or two characters are looked for whole.
     """
-    low = names.select(name_id, F.lower(name).alias("_name")).filter(F.length("_name") >= 1).withColumn("_key", F.substring("_name", 1, 3))
-    t = titles.select(title_id, F.lower(title).alias("_title"))
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_title"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(F.col("_title"), i, n)))))
-    hits = t.withColumn("_key", F.explode(pieces)).join(low, "_key").filter(F.contains("_title", F.col("_name")))
-    return first_by(hits, [title_id], [F.length("_name").desc(), F.col(name_id)]).select(title_id, name_id)
+    t = texts.select(*on, "_text").filter("_text IS NOT NULL").distinct()
+    n = names.select(*on, "_name").filter("_name <> ''").distinct()
+    grams = t.filter(F.length("_text") >= 3).select(*on, "_text", F.explode(_pieces(F.col("_text"), 3)).alias("_g"))
+    seen = grams.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_df"))
+    own = n.filter(F.length("_name") >= 3).withColumn("_p", _pieces(F.col("_name"), 3)).select(*on, "_name", F.size("_p").alias("_k"), F.explode("_p").alias("_g"))
+    rarest = own.join(seen, [*on, "_g"]).groupBy(*on, "_name", "_k").agg(F.min(F.struct("_df", "_g")).alias("_r"), F.count(F.lit(1)).alias("_m"))
+    keyed = rarest.filter("_m = _k").select(*on, "_name", F.col("_r._g").alias("_g"))
+    found = grams.join(keyed, [*on, "_g"]).filter(F.contains("_text", F.col("_name")))
+    short = n.filter(F.length("_name") < 3).withColumn("_g", F.col("_name"))
+    small = t.select(*on, "_text", F.explode(F.array_union(_pieces(F.col("_text"), 1), _pieces(F.col("_text"), 2))).alias("_g")).join(short, [*on, "_g"])
+    return found.select(*on, "_text", "_name").unionByName(small.select(*on, "_text", "_name"))
+
+
+def longest_contained(titles: DataFrame, names: DataFrame, title_id: str, title: str, name_id: str, name: str) -> DataFrame:
+    """(title_id, name_id): the longest name that a title contains as a substring, lowest id on ties; each different title is
+    looked at once."""
+    low = names.select(F.col(name_id).alias("_id"), F.lower(name).alias("_name")).filter("_name <> ''").groupBy("_name").agg(F.min("_id").alias(name_id))
+    t = titles.select(title_id, F.lower(title).alias("_text"))
+    best = first_by(contained_pairs(t, low).join(low, "_name"), ["_text"], [F.length("_name").desc(), F.col(name_id)])
+    return t.join(best.select("_text", name_id), "_text").select(title_id, name_id)
 
 
 def demand(watched: DataFrame, products: DataFrame, query: str, product_id: str, name: str) -> DataFrame:
-    """How many watched queries contain each product's name, whatever the case; products without any count 0."""
-    q = watched.select(F.monotonically_increasing_id().alias("_q"), F.lower(query).alias("_text"))
-    hits = longest_free_hits(q, products, name, product_id)
-    counted = hits.groupBy(product_id).agg(F.count(F.lit(1)).alias("demand"))
-    return products.select(product_id, name).join(counted, product_id, "left").withColumn("demand", F.coalesce("demand", F.lit(0)))
-
-
-def longest_free_hits(texts: DataFrame, names: DataFrame, name: str, name_id: str) -> DataFrame:
-    """All (text, name) pairs of substring containment, by the names' first three characters."""
-    low = names.select(name_id, F.lower(name).alias("_name")).filter(F.length("_name") >= 3).withColumn("_key", F.substring("_name", 1, 3))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 2, F.lit(1))), lambda i: F.substr(F.col("_text"), i, F.lit(3))))
-    return texts.withColumn("_key", F.explode(pieces)).join(low, "_key").filter(F.contains("_text", F.col("_name"))).select("_q", name_id)
+    """How many watched queries contain each product's name, whatever the case; products without any count 0, and so do
+    names of fewer than three characters. Equal queries, and equal names, are compared once."""
+    q = watched.select(F.lower(query).alias("_text")).groupBy("_text").agg(F.count(F.lit(1)).alias("_times"))
+    named = products.select(product_id, name, F.lower(name).alias("_name"))
+    counted = contained_pairs(q, named.filter(F.length("_name") >= 3)).join(q, "_text").groupBy("_name").agg(F.sum("_times").alias("demand"))
+    return named.join(counted, "_name", "left").select(product_id, name, F.coalesce("demand", F.lit(0)).alias("demand"))

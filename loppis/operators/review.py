@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loppis.functions import text
 
-from .matching import longest_contained
+from .matching import contained_pairs, longest_contained
 from .pages import words_within
 from .ranking import top_per_group
 from .similar import clean_candidates, distinct_names
@@ -146,15 +146,11 @@ def with_aliases(synonyms: DataFrame, new: DataFrame) -> DataFrame:
 def _moved_by_name(matches: DataFrame, merged: DataFrame) -> DataFrame:
     """matches whose explanation holds the name of a merged suggestion go to its target; of several the first decides.
 
-    Explanations are compared by the first three characters of a name and then in whole, each different one once.
+    Each different explanation and name are compared once, see `contained_pairs`.
     """
     names = merged.select(text.normalized_text(c("old_name")).alias("_name"), c("product_id").alias("_to"), "decided_at", "id").filter("_name <> ''")
-    key = names.withColumn("_key", F.substring("_name", 1, 3)).withColumn("_n", F.length("_key"))
-    texts = matches.select(F.lower("explain").alias("_text")).filter("_text IS NOT NULL").distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(c("_text"), i, n))))
-    hits = texts.withColumn("_key", F.explode(F.array_distinct(pieces))).join(key, "_key").filter(F.contains("_text", c("_name")))
-    to = first_by(hits, ["_text"], [c("decided_at"), c("id")]).select("_text", "_to")
+    texts = matches.select(F.lower("explain").alias("_text"))
+    to = first_by(contained_pairs(texts, names).join(names, "_name"), ["_text"], [c("decided_at"), c("id")]).select("_text", "_to")
     joined = matches.join(to, F.lower("explain") == c("_text"), "left")
     moved = joined.withColumn("product_id", F.coalesce(c("_to").cast(matches.schema["product_id"].dataType), c("product_id"))).select(*matches.columns)
     # a listing that the target has already keeps one match, the strongest

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loppis.functions import text
 
+from .matching import contained_pairs
 from .ranking import top_per_group
 from .writes import first_by
 
@@ -41,19 +42,24 @@ def clean_candidates(dirty: DataFrame, clean: DataFrame, n: int = 5, floor: floa
     many dirty rows of a brand have is compared once, and keeps one candidate more than n, as one may be the row itself.
     """
     rows = dirty.select("id", "brand_id", F.col("name").alias("_name")).distinct()
-    d = rows.select("brand_id", "_name").distinct().withColumn("_a", text.trigrams(F.col("_name")))
-    c = clean.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate_name"), "brand_id", text.trigrams(F.col("name")).alias("_b"))
-    shared = (
-        d.select("brand_id", "_name", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
-        .join(c.select("candidate_id", "candidate_name", "brand_id", F.size("_b").alias("_nb"), F.explode("_b").alias("_g")), ["brand_id", "_g"])
-        .groupBy("brand_id", "_name", "candidate_id", "candidate_name", "_na", "_nb")
-        .agg(F.count(F.lit(1)).alias("_m"))
+    # counting goes by numbers: an id and a hash tell a name; names come back once the unlike pairs are gone
+    d = rows.groupBy("brand_id", "_name").agg(F.min("id").alias("_d")).withColumn("_dh", F.xxhash64("brand_id", "_name"))
+    c = clean.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate_name"), "brand_id").distinct().withColumn("_ch", F.xxhash64("brand_id", "candidate_name"))
+    left = d.select("_d", "_dh", "brand_id", text.trigrams(F.col("_name")).alias("_a"))
+    right = c.select("candidate_id", "_ch", "brand_id", text.trigrams(F.col("candidate_name")).alias("_b"))
+    pair = ["_d", "_dh", "candidate_id", "_ch"]
+    near = (
+        left.select("_d", "_dh", "brand_id", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
+        .join(right.select("candidate_id", "_ch", "brand_id", F.size("_b").alias("_nb"), F.explode("_b").alias("_g")), ["brand_id", "_g"])
+        .groupBy(*pair)
+        .agg(F.count(F.lit(1)).alias("_m"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
         .withColumn("sim", F.col("_m") / (F.col("_na") + F.col("_nb") - F.col("_m")))
         .filter(F.col("sim") >= floor)
     )
+    named = near.select(*pair, "sim").join(c.select("candidate_id", "_ch", "candidate_name"), ["candidate_id", "_ch"])
     order = [F.col("sim").desc(), F.col("candidate_name"), F.col("candidate_id")]
-    best = top_per_group(shared, ["brand_id", "_name"], order, n + 1).drop("rank")
-    own = rows.join(best, ["brand_id", "_name"]).filter("id <> candidate_id")
+    best = top_per_group(named, ["_d", "_dh"], order, n + 1).drop("rank")
+    own = rows.join(d, ["brand_id", "_name"]).select("id", "_d", "_dh").join(best, ["_d", "_dh"]).filter("id <> candidate_id")
     return top_per_group(own, ["id"], order, n).select("id", "candidate_id", "candidate_name", "sim", "rank")
 
 
@@ -69,13 +75,20 @@ def distinct_names(names: Column, limit: float = 0.85) -> Column:
 def suggestion_duplicates(suggestions: DataFrame, products: DataFrame) -> DataFrame:
     """(id, product_id): the first product of the same brand where either name contains the other, whatever the case.
 
-    Different names of a brand are compared once each.
+    Different names of a brand meet through a piece of the one that few of the others hold, either way round, so no brand
+    is compared pair by pair. An empty name is contained in every one of its brand.
     """
     s = suggestions.select("id", "brand_id", F.lower("name").alias("_s"))
     p = products.select("product_id", "brand_id", F.lower("name").alias("_p")).groupBy("brand_id", "_p").agg(F.min("product_id").alias("product_id"))
-    hits = s.select("brand_id", "_s").distinct().join(p, "brand_id").filter(F.contains("_s", F.col("_p")) | F.contains("_p", F.col("_s")))
-    first = hits.groupBy("brand_id", "_s").agg(F.min("product_id").alias("product_id"))
-    return s.join(first, ["brand_id", "_s"]).groupBy("id").agg(F.min("product_id").alias("product_id"))
+    ours, theirs = s.select("brand_id", "_s").distinct(), p.select("brand_id", "_p")
+    inner = contained_pairs(ours.withColumnRenamed("_s", "_text"), theirs.withColumnRenamed("_p", "_name"), ("brand_id",)).withColumnsRenamed({"_text": "_s", "_name": "_p"})
+    outer = contained_pairs(theirs.withColumnRenamed("_p", "_text"), ours.withColumnRenamed("_s", "_name"), ("brand_id",)).withColumnsRenamed({"_text": "_p", "_name": "_s"})
+    first = inner.unionByName(outer).join(p, ["brand_id", "_p"]).groupBy("brand_id", "_s").agg(F.min("product_id").alias("product_id"))
+    blank = p.filter("_p = ''").select("brand_id", F.col("product_id").alias("_blank"))
+    any_ = p.filter("_p IS NOT NULL").groupBy("brand_id").agg(F.min("product_id").alias("_any"))
+    j = s.filter("_s IS NOT NULL").join(first, ["brand_id", "_s"], "left").join(blank, "brand_id", "left").join(any_, "brand_id", "left")
+    least = F.least("product_id", "_blank", F.when(F.col("_s") == "", F.col("_any")))
+    return j.withColumn("product_id", least).filter("product_id IS NOT NULL").groupBy("id").agg(F.min("product_id").alias("product_id"))
 
 
 def padded_candidates(products: DataFrame, most: int = 80, few: int = 10, others: int = 40) -> DataFrame:

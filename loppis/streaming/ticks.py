@@ -28,18 +28,42 @@ def within_cap(price: Column, cap: Column) -> Column:
 def tick(batch: DataFrame, listings: DataFrame, watchlists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(listings, snapshots, alerts) after one micro-batch of scraped rows.
 
-    batch: url, watchlist_id, title, price, scraped_at. Rows above the watchlist's cap are dropped; rows that were
-    never alerted are, and are marked at once, whatever becomes of the message.
+    batch: url, watchlist_id, title, price, scraped_at, and other columns of listings. Rows above the watchlist's cap are
+    dropped, but for a watchlist of type "listing", which follows one page whatever its price. Every listing of a watchlist
+    with rows in the batch that was never alerted is alerted now, also one that came before, and is marked at once, whatever
+    becomes of the message.
     """
-    caps = watchlists.filter("active").select(F.col("id").alias("watchlist_id"), "max_price")
+    kind = F.col("type") if "type" in watchlists.columns else F.lit("query")
+    caps = watchlists.filter("active").select(F.col("id").alias("watchlist_id"), F.when(kind != "listing", F.col("max_price")).alias("max_price"))
     # a batch and the watchlists meet by hash; Spark broadcasts either side itself where it is small
     kept = batch.join(caps, "watchlist_id").filter(within_cap(F.col("price"), F.col("max_price"))).drop("max_price")
     grown = upsert(listings, kept, ["url", "watchlist_id"], [F.col("scraped_at").desc(), F.col("title")])
-    snapshots = kept.select("url", "watchlist_id", "price", "title", "scraped_at")
-    alerts = grown.join(kept.select("url", "watchlist_id").distinct(), ["url", "watchlist_id"], "left_semi").filter("notified_at IS NULL")
-    key = alerts.select("url", "watchlist_id", F.lit(True).alias("_new"))
-    marked = update_where(grown.join(key, ["url", "watchlist_id"], "left"), F.col("_new"), {"notified_at": F.col("scraped_at")}).select(*grown.columns)
-    return marked, snapshots, alerts
+    noted = [x for x in ("url", "watchlist_id", "price", "currency", "title", "scraped_at") if x in kept.columns]
+    ticked = kept.groupBy("watchlist_id").agg(F.max("scraped_at").alias("_now"))
+    joined = grown.join(ticked, "watchlist_id", "left")
+    alerts = joined.filter("_now IS NOT NULL AND notified_at IS NULL").select(*grown.columns)
+    marked = update_where(joined, F.col("_now").isNotNull() & F.col("notified_at").isNull(), {"notified_at": F.col("_now")}).select(*grown.columns)
+    return marked, kept.select(*noted), alerts
+
+
+def watch(batch: DataFrame, listings: DataFrame, watchlists: DataFrame, matches: DataFrame, identifiers: DataFrame, synonyms: DataFrame, models: DataFrame) -> dict[str, DataFrame]:
+    """listings, snapshots, matches, alerts and digests after one whole tick.
+
+    The tick's own listings are matched to products, those that have a match are left alone. digests has a row for each user
+    and watchlist with something new: n_new, and the first five titles, then how many more there are.
+    """
+    grown, snapshots, alerts = tick(batch, listings, watchlists)
+    own = grown.join(snapshots.select("url", "watchlist_id").distinct(), ["url", "watchlist_id"], "left_semi")
+    new = match_unmatched(own.select(F.col("id").alias("listing_id"), "title"), matches, identifiers, synonyms, models)
+    place = F.row_number().over(W.partitionBy("watchlist_id").orderBy("title", "url"))
+    numbered = alerts.withColumn("_place", place).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("watchlist_id")))
+    # five titles at most are gathered, however many are new
+    told = numbered.filter("_place <= 5").groupBy("watchlist_id").agg(F.max("_n").alias("n_new"), F.array_sort(F.collect_list(F.struct("_place", "title"))).alias("_t"))
+    more = F.when(F.col("n_new") > 5, F.concat(F.lit("…and "), (F.col("n_new") - 5).cast("string"), F.lit(" more")))
+    lines = F.concat_ws("\n", F.transform("_t.title", lambda t: F.coalesce(t, F.lit(""))), more)
+    users = watchlists.select(F.col("id").alias("watchlist_id"), "user_id", "query")
+    digests = told.join(users, "watchlist_id").select("user_id", "watchlist_id", "query", "n_new", lines.alias("digest"))
+    return {"listings": grown, "snapshots": snapshots, "matches": matches.unionByName(new, allowMissingColumns=True), "alerts": alerts, "digests": digests}
 
 
 def match_unmatched(batch: DataFrame, matches: DataFrame, identifiers: DataFrame, synonyms: DataFrame, models: DataFrame) -> DataFrame:

@@ -274,3 +274,29 @@ def test_numbered_over_ranges(spark):
         want |= {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])))}
     assert got == want
     assert ranking.numbered(df.limit(0), [F.col("id")], "place", "g").count() == 0
+
+
+def test_contained_pairs_are_all_pairs(spark):
+    """Rare pieces as keys find what comparing every pair finds, in groups, for short, equal, empty and missing strings."""
+    import random
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcå ") for _ in range(r.randint(0, n)))
+    texts = [(r.randint(1, 3), word(12)) for _ in range(150)] + [(1, None), (None, "abc"), (1, "abab"), (1, "abab")]
+    names = [(r.randint(1, 3), word(5)) for _ in range(120)] + [(1, None), (None, "abc"), (1, "bab"), (1, "bab")]
+    t, n = spark.createDataFrame(texts, "brand_id int, _text string"), spark.createDataFrame(names, "brand_id int, _name string")
+    got = sorted(map(tuple, matching.contained_pairs(t, n, ("brand_id",)).select("brand_id", "_text", "_name").collect()))
+    want = {(g, x, y) for g, x in texts for h, y in names if g is not None and g == h and x is not None and y and y in x}
+    assert got == sorted(want) and len(got) > 100
+    whole = sorted(map(tuple, matching.contained_pairs(t, n).select("_text", "_name").collect()))
+    assert whole == sorted({(x, y) for _, x in texts for _, y in names if x is not None and y and y in x})
+
+
+def test_suggestion_duplicates_are_all_pairs(spark):
+    from loppis.operators import similar
+
+    s = [(1, "b", "Juno 60"), (2, "b", "no"), (3, "b", ""), (4, "c", "x"), (5, "d", "y"), (6, "b", None), (7, None, "Juno"), (8, "b", "JUNO")]
+    p = [(10, "b", "juno"), (11, "b", "Juno 60 synth"), (9, "b", "other one no"), (12, "c", ""), (13, "d", "z"), (14, None, "juno"), (15, "b", None)]
+    got = {(r.id, r.product_id) for r in similar.suggestion_duplicates(spark.createDataFrame(s, "id int, brand_id string, name string"), spark.createDataFrame(p, "product_id int, brand_id string, name string")).collect()}
+    hits = [(i, j) for i, b, x in s for j, d, y in p if b is not None and b == d and x is not None and y is not None and (x.lower() in y.lower() or y.lower() in x.lower())]
+    assert got == {(i, min(j for k, j in hits if k == i)) for i, _ in hits}
