@@ -40,6 +40,11 @@ def _ids(table: DataFrame, name: str) -> DataFrame:
     return table.withColumn("id", F.coalesce("id", text.deterministic_id(F.lit(name), c("slug"))))
 
 
+def _known(slugs: DataFrame, old: DataFrame, name: str) -> DataFrame:
+    """(slug, id) of all slugs, new and old: what a table's rows refer to, without the rest of its columns."""
+    return _ids(slugs.join(old.filter("slug IS NOT NULL").select("slug", "id"), "slug", "full_outer"), name)
+
+
 def _category_name(slug: Column, at: int) -> Column:
     known = F.create_map(*[F.lit(x) for s, names in CATEGORY_NAMES.items() for x in (s, names[at])])
     return F.coalesce(F.try_element_at(known, slug), slug)
@@ -60,12 +65,12 @@ def import_graph(graph: DataFrame, synonyms: DataFrame, old: dict[str, DataFrame
 
     new = cats.select(c("category").alias("slug"), _category_name(c("category"), 0).alias("name_da"), _category_name(c("category"), 1).alias("name_en"))
     categories = _ids(upsert(old["kg_category"], new.distinct(), ["slug"], [c("slug")]), "kg_category")
-    cat_id = categories.select(c("slug").alias("category"), c("id").alias("category_id"))
+    cat_id = _known(new.select("slug").distinct(), old["kg_category"], "kg_category").select(c("slug").alias("category"), c("id").alias("category_id"))
 
     last = first_by(brands, ["brand"], [c("seq").desc(), c("i").desc(), c("j").desc()]).select("brand", "category")
     named = last.join(cat_id, "category").select(c("brand").alias("slug"), text.brand_name(c("brand")).alias("name"), "category_id")
     all_brands = _ids(upsert(old["kg_brand"], named, ["slug"], [c("name")]), "kg_brand")
-    brand_id = all_brands.select(c("slug").alias("brand"), c("id").alias("brand_id"))
+    brand_id = _known(brands.select(c("brand").alias("slug")).distinct(), old["kg_brand"], "kg_brand").select(c("slug").alias("brand"), c("id").alias("brand_id"))
 
     entries = first_by(rows, ["slug"], [c("seq").desc(), c("i").desc(), c("j").desc(), c("k").desc()])
     # an entry without a type has an empty object, not none
@@ -75,7 +80,7 @@ def import_graph(graph: DataFrame, synonyms: DataFrame, old: dict[str, DataFrame
         F.get("p.price_range_dkk", F.lit(1)).alias("price_max_dkk"), c("p.era").alias("era"), c("p.reference_url").alias("reference_url"), kind.alias("attributes"), F.lit("active").alias("status"),
     )
     products = _ids(upsert(old["kg_product"], shaped, ["slug"], [c("canonical_name")]), "kg_product")
-    product_id = products.select("slug", c("id").alias("product_id"))
+    product_id = _known(rows.select("slug").distinct(), old["kg_product"], "kg_product").withColumnRenamed("id", "product_id")
 
     none = F.array().cast("array<string>")
     sku, ean = F.coalesce("p.sku", none), F.coalesce("p.ean", none)

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from loppis.session import local_session
 
-    s = local_session("4", 4, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = local_session("8", 2, spark__driver__memory="4g", spark__ui__showConsoleProgress="false", spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
