@@ -326,17 +326,17 @@ def c12_kept(spark, sf):
 
 # --- matches by hand --------------------------------------------------------------------------------------------------
 
-_CANDIDATES = """ps AS (SELECT p_partkey AS product_id, p_name, replace(p_name, ' ', '-') || ' a' AS canonical_name FROM part WHERE p_partkey % 4 = 0), ls AS (SELECT p_partkey AS listing_id, p_name AS own_name, CASE WHEN p_size % 8 > 0 THEN upper(p_type || ' ' || p_name) END AS title, p_size % 3 > 0 AS is_active FROM part),
+_CANDIDATES = """ps AS (SELECT p_partkey AS product_id, p_name, replace(p_name, ' ', '-') || ' a' AS canonical_name FROM part), ls AS (SELECT p_partkey AS listing_id, p_name AS own_name, CASE WHEN p_size % 8 > 0 THEN upper(p_type || ' ' || p_name) END AS title, p_size % 3 > 0 AS is_active FROM part),
 cand AS (SELECT * FROM (SELECT product_id, listing_id, row_number() OVER (PARTITION BY product_id ORDER BY listing_id) AS place FROM ps JOIN ls ON is_active AND title IS NOT NULL AND contains(lower(title), split_part(replace(canonical_name, '-', ' '), ' ', 1)) AND contains(lower(title), split_part(replace(canonical_name, '-', ' '), ' ', 2)) WHERE listing_id % 6 > 0 OR p_name <> own_name) WHERE place <= 50)"""
 
 
 def candidates(spark, sf):
     p = table(spark, sf, "part")
-    products = p.filter("p_partkey % 4 = 0").select(c("p_partkey").alias("product_id"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" a")).alias("canonical_name")).withColumnRenamed("product_id", "id")
+    products = p.select(c("p_partkey").alias("product_id"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" a")).alias("canonical_name")).withColumnRenamed("product_id", "id")
     listings = p.select(c("p_partkey").alias("id"), F.when(c("p_size") % 8 > 0, F.upper(F.concat_ws(" ", "p_type", "p_name"))).alias("title"), (c("p_size") % 3 > 0).alias("is_active"))
     # every sixth listing matches all products of its name already
     named = p.select("p_name", c("p_partkey").alias("listing_id")).filter("listing_id % 6 = 0")
-    matches = p.filter("p_partkey % 4 = 0").select(c("p_partkey").alias("product_id"), "p_name").join(named, "p_name").select("product_id", "listing_id")
+    matches = p.select(c("p_partkey").alias("product_id"), "p_name").join(named, "p_name").select("product_id", "listing_id")
     return review.match_candidates(products, listings, matches)
 
 
