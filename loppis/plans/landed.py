@@ -4,9 +4,11 @@ and the SQL states what is to come out of them."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from loppis.operators import catalog, ranking, similar
 from loppis.session import shared_folder, table
+from loppis.sinks.keyed import KeyedTable
 from loppis.sources import extract
 from loppis.streaming import ticks
 
@@ -199,8 +201,8 @@ def s16_marketplace_rows(spark, sf):
 
 
 def landed(spark, sf, name):
-    """A table's file as a stream of landed files."""
-    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table's file, or all files of its folder, as a stream of landed files; a stream's path to one file has to be a pattern."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def ran(stream, folder, work):
@@ -231,30 +233,36 @@ _TICK = """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS watchlist_id, event_typ
 k AS (SELECT * FROM b WHERE NOT (CAST(watchlist_id AS BIGINT) % 3 > 0) OR price IS NULL OR price <= CAST(watchlist_id AS BIGINT) % 3 * 40)"""
 
 
-def tick_run(spark, sf):
-    """(listings, snapshots, alerts) folders after an availableNow run of the tick over landed events.
+LISTINGS = StructType([StructField(n, k) for n, k in (("url", StringType()), ("watchlist_id", StringType()), ("title", StringType()), ("price", DoubleType()), ("scraped_at", TimestampNTZType()), ("notified_at", TimestampNTZType()))])
 
-    Users are watchlists; every fourth is not active, those not divisible by three have a cap.
-    """
-    folder = shared_folder(spark)
+
+def listings_table(spark, path):
+    """Listings on disk, the listings of a watchlist in one bucket."""
+    return KeyedTable.create(spark, path, LISTINGS, ["url", "watchlist_id"], ["watchlist_id"], buckets=8)
+
+
+def watchlists(spark, sf):
+    """Users are watchlists; every fourth is not active, those not divisible by three have a cap."""
     users = table(spark, sf, "events").select("user_id").distinct()
-    lists = users.select(c("user_id").cast("string").alias("id"), (c("user_id") % 4 != 0).alias("active"), (c("user_id") % 3 * 40).cast("double").alias("max_price"))
-    schema = "url string, watchlist_id string, title string, price double, scraped_at timestamp_ntz, notified_at timestamp_ntz"
-    none = spark.createDataFrame([], schema)
+    return users.select(c("user_id").cast("string").alias("id"), (c("user_id") % 4 != 0).alias("active"), (c("user_id") % 3 * 40).cast("double").alias("max_price"))
 
-    def work(batch, at):
-        rows = batch.select(c("event_type").alias("url"), c("user_id").cast("string").alias("watchlist_id"), c("event_id").cast("string").alias("title"), c("value").cast("double").alias("price"), c("ts").cast("timestamp_ntz").alias("scraped_at"))
-        old = spark.read.schema(schema).parquet(f"{folder}/listings{at - 1}") if at else none
-        for name, made in zip((f"listings{at}", "snapshots", "alerts"), ticks.tick(rows, old, lists), strict=True):
-            made.write.mode("append").parquet(f"{folder}/{name}")
 
-    ran(landed(spark, sf, "events"), folder, work)
-    return folder, schema
+def scraped(events):
+    return events.select(c("event_type").alias("url"), c("user_id").cast("string").alias("watchlist_id"), c("event_id").cast("string").alias("title"), c("value").cast("double").alias("price"), c("ts").cast("timestamp_ntz").alias("scraped_at"))
+
+
+def tick_run(spark, sf):
+    """Folder of the listings, snapshots and alerts after an availableNow run of the tick over landed events."""
+    folder = shared_folder(spark)
+    lists = watchlists(spark, sf)
+    kept = listings_table(spark, f"{folder}/listings")
+    ran(landed(spark, sf, "events"), folder, lambda batch, at: ticks.keep_tick(scraped(batch), at, kept, lists, folder))
+    return folder
 
 
 @q(_TICK + " SELECT watchlist_id, url, count(*) AS snapshots FROM k GROUP BY 1, 2")
 def st01_tick_snapshots(spark, sf):
-    folder, _ = tick_run(spark, sf)
+    folder = tick_run(spark, sf)
     rows = spark.read.schema("url string, watchlist_id string, title string, price double, scraped_at timestamp_ntz").parquet(f"{folder}/snapshots")
     return rows.groupBy("watchlist_id", "url").agg(F.count(F.lit(1)).alias("snapshots"))
 
@@ -262,8 +270,7 @@ def st01_tick_snapshots(spark, sf):
 @q(_TICK + " SELECT watchlist_id, url, max(ts) AS scraped_at FROM k GROUP BY 1, 2")
 def st02_tick_alerts(spark, sf):
     """Each listing of a tick is alerted once, with its last row."""
-    folder, schema = tick_run(spark, sf)
-    return spark.read.schema(schema).parquet(f"{folder}/alerts").select("watchlist_id", "url", "scraped_at")
+    return spark.read.schema(LISTINGS).parquet(f"{tick_run(spark, sf)}/alerts").select("watchlist_id", "url", "scraped_at")
 
 
 @q(_MERGE + " SELECT url, source_rank, row_number() OVER (PARTITION BY source_rank ORDER BY position, url) AS turn FROM o")

@@ -30,6 +30,14 @@ from loppis.session import shared_folder
 BUCKET = "_bucket"
 
 
+def write_once(rows: DataFrame, path: str) -> None:
+    """Writes the rows unless a finished write is there; an unfinished one is written anew."""
+    spark = rows.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        rows.write.mode("overwrite").parquet(path)
+
+
 def _hashable(kind: DataType) -> bool:
     if isinstance(kind, StructType):
         return all(_hashable(f.dataType) for f in kind)

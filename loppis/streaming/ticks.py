@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from loppis.operators.matching import cascade
 from loppis.operators.writes import first_by, update_where, upsert
+from loppis.sinks.keyed import KeyedTable, write_once
 
 
 def within_cap(price: Column, cap: Column) -> Column:
@@ -46,6 +47,16 @@ def tick(batch: DataFrame, listings: DataFrame, watchlists: DataFrame) -> tuple[
     return marked, kept.select(*noted), alerts
 
 
+def keep_tick(batch: DataFrame, at: int, listings: KeyedTable, watchlists: DataFrame, folder: str) -> None:
+    """One tick over a table on disk that is dealt by watchlist: only the buckets of the batch's watchlists are read and
+    written. Snapshots and alerts of tick `at` go to folders of their own before the listings are marked, so a tick that
+    is run again after a failure tells of each listing once."""
+    marked, snapshots, alerts = tick(batch, listings.around(batch), watchlists)
+    write_once(snapshots, f"{folder}/snapshots/tick={at}")
+    write_once(alerts, f"{folder}/alerts/tick={at}")
+    listings.rewrite(marked)
+
+
 def watch(batch: DataFrame, listings: DataFrame, watchlists: DataFrame, matches: DataFrame, identifiers: DataFrame, synonyms: DataFrame, models: DataFrame) -> dict[str, DataFrame]:
     """listings, snapshots, matches, alerts and digests after one whole tick.
 

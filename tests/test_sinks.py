@@ -4,11 +4,14 @@ import random
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from loppis.sinks.keyed import BUCKET, KeyedTable
+from loppis.plans.landed import landed, listings_table, ran
+from loppis.sinks.keyed import BUCKET, KeyedTable, write_once
+from loppis.streaming import ticks
 
 SCHEMA = StructType().add("a", LongType()).add("b", StringType()).add("v", DoubleType()).add("note", StringType())
 
@@ -149,3 +152,33 @@ def test_what_is_refused(spark):
         t.update_where(F.lit(True), {"a": F.lit(1)})
     with pytest.raises(ValueError):
         KeyedTable.create(spark, t.path + "2", SCHEMA, ["a"], ["b"])
+
+
+def test_a_tick_run_again_tells_each_listing_once(spark):
+    """Death after the alerts, or after the listings: the tick's second run leaves the same alerts and listings."""
+    folder = tempfile.mkdtemp(prefix="loppis-tick-")
+    lists = spark.createDataFrame([("w", True, None), ("v", True, 5.0), ("off", False, None)], "id string, active boolean, max_price double")
+    when = F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz")
+    batches = [[("u1", "w", "a", 1.0), ("u2", "w", "b", 2.0), ("u3", "v", "c", 9.0), ("u4", "off", "d", 1.0)], [("u1", "w", "a2", 3.0), ("u5", "v", "e", 4.0)]]
+    once, twice = (listings_table(spark, f"{folder}/{n}/listings") for n in ("once", "twice"))
+    for at, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "url string, watchlist_id string, title string, price double").withColumn("scraped_at", when)
+        ticks.keep_tick(batch, at, once, lists, f"{folder}/once")
+        _, _, alerts = ticks.tick(batch, twice.around(batch), lists)
+        write_once(alerts, f"{folder}/twice/alerts/tick={at}")
+        for _ in range(2):
+            ticks.keep_tick(batch, at, twice, lists, f"{folder}/twice")
+    for t, n in ((once, "once"), (twice, "twice")):
+        told = spark.read.parquet(f"{folder}/{n}/alerts")
+        assert sorted((r.tick, r.url) for r in told.collect()) == [(0, "u1"), (0, "u2"), (1, "u5")]
+        assert sorted((r.url, r.title, r.notified_at is not None) for r in t.read().collect()) == [("u1", "a2", True), ("u2", "b", True), ("u5", "e", True)]
+
+
+def test_landed_files_of_a_folder(spark):
+    """A table is one file or a folder of files; both are streams of all rows."""
+    sf = tempfile.mkdtemp(prefix="loppis-landed-")
+    spark.range(10).repartition(3).write.parquet(f"{sf}/many.parquet")
+    pd.DataFrame({"id": range(4)}).to_parquet(f"{sf}/one.parquet")
+    for name, n in (("many", 10), ("one", 4)):
+        ran(landed(spark, sf, name), f"{sf}/run-{name}", lambda batch, at, name=name: batch.write.mode("append").parquet(f"{sf}/out-{name}"))
+        assert spark.read.parquet(f"{sf}/out-{name}").count() == n
