@@ -114,3 +114,18 @@ def st02_kept_listings(spark, sf):
         batch = events.filter(F.expr(f"({TICKS} * (unix_micros(cast(ts as timestamp)) - {low})) div {high - low + 1} = {at}"))
         ticks.keep_tick(scraped(batch), at, t, lists, folder)
     return t.read()
+
+
+@q("""WITH d AS (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY lang NULLS LAST, source NULLS LAST, n_chars NULLS LAST) AS rn FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY doc_id ORDER BY quality NULLS LAST, toxic NULLS LAST) AS rn FROM labels WHERE doc_id IS NOT NULL)
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, quality, toxic FROM (SELECT * FROM d WHERE rn = 1) d FULL JOIN (SELECT * FROM l WHERE rn = 1) l ON d.doc_id = l.doc_id WHERE toxic IS DISTINCT FROM 1""")
+def k01_stored_documents(spark, sf):
+    """A register of documents on disk: inserted once each, labels upserted by themselves, toxic ones deleted."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").filter("doc_id IS NOT NULL")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL")
+    schema = docs.join(labels.limit(0), "doc_id", "left").schema
+    t = KeyedTable.create(spark, f"{shared_folder(spark)}/kept", schema, ["doc_id"], buckets=BUCKETS)
+    t.insert_ignore(docs, [c(n).asc_nulls_last() for n in ("lang", "source", "n_chars")])
+    t.upsert(labels, [c(n).asc_nulls_last() for n in ("quality", "toxic")])
+    t.delete(t.read().filter("toxic = 1"))
+    return t.read()
