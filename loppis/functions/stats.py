@@ -16,12 +16,29 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
+def _between(low: Column, high: Column, t: Column) -> Column:
+    """low * (1 - t) + high * t for quarters t, rounded once as by a fused multiply and add: 0.75 * low goes in two exact halves."""
+    x, y, h = F.when(t == 0.25, low * 0.5).otherwise(low * (1 - t)), F.when(t == 0.25, low * 0.25).otherwise(F.lit(0.0)), high * t
+    p = x + y
+    s = p + h
+    # what the two sums lost; infinite and missing values lose nothing that counts
+    lost = (y - (p - x)) + ((p - (s - h)) + (h - (s - (s - h))))
+    return s + F.when(F.isnan(lost) | (F.abs(s) == float("inf")), 0.0).otherwise(lost)
+
+
 def interpolated_percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, p25, p50, p75 of each group by linear interpolation, rounded; nulls and a zero count for no values."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(F.count(value).alias("count"), p.alias("p")).select(
-        *keys, "count", *[round_half_up(F.col("p")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
-    )
+    """count, p25, p50, p75 of each group by linear interpolation, rounded; nulls and a zero count for no values.
+
+    The two values beside a rank are interpolated with one rounding, as halves are told apart afterwards. Equal values are
+    counted before they are ranked.
+    """
+    counted = df.groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(value).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(W.partitionBy(*keys))})
+    at = {q: (F.col("_n") - 1) * share for q, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))}
+    ends = [F.min(F.when(F.col("_upto") > edge(rank), F.col("_x"))).alias(f"_{side}_{q}") for q, rank in at.items() for side, edge in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    return found.select(*keys, F.col("_n").alias("count"), *[round_half_up(_between(F.col(f"_low_{q}"), F.col(f"_high_{q}"), rank - F.floor(rank))).alias(q) for q, rank in at.items()])
 
 
 def iqr_keep(df: DataFrame, keys: list[str], value: str, order: list[str] | None = None) -> DataFrame:

@@ -170,6 +170,15 @@ def test_golden_robust_ranges(spark):
 # --- operators ------------------------------------------------------------------------------------------------------
 
 
+def test_percentiles_round_once(spark):
+    """A quarter between two prices that is a half stays one; 0.75 * low + 0.25 * high of rounded products falls below it."""
+    pairs = [(236.2, 237.4), (199.45, 199.65), (94.35, 94.95)]
+    rows = [(k, x) for k, pair in enumerate(pairs) for x in pair] + [(9, None), (10, 5.0), (10, None), (11, float("inf")), (11, 1.0)]
+    got = {r.k: (r["count"], r.p25, r.p50, r.p75) for r in stats.interpolated_percentiles(spark.createDataFrame(rows, "k int, x double"), ["k"], "x").collect()}
+    assert [got[k][1] for k in range(3)] == [237, 200, 95]
+    assert got[9] == (0, None, None, None) and got[10] == (1, 5, 5, 5) and got[11][0] == 2
+
+
 def test_matcher_cascade(spark):
     """Identifiers beat synonyms beat models; EAN and abbreviations never match; unresolved synonyms are skipped."""
     listings = spark.createDataFrame([(1, "roland juno-60 synth"), (2, "space echo unit"), (3, "juno 106 ok"), (4, "ean 12345"), (5, None)], "listing_id long, title string")
