@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ def rows(df, *cols):
     return [tuple(r) for r in df.select(*cols).collect()]
 
 
+c = F.col
 DAY = dt.datetime(2024, 1, 1)
 LISTING = "id long, price double, is_active boolean, scraped_at timestamp, watchlist_id long, image_url string, notified_at timestamp"
 PRODUCT = "id long, slug string, canonical_name string, brand_id string, status string, tier string, subcategory_id int, image_url string, thomann_url string, thomann_price_dkk int, related array<string>"
@@ -132,6 +134,32 @@ def test_words_within_is_every_pair(spark):
     assert len(want) > 20
 
 
+def test_first_within_is_the_head_of_every_pair(spark):
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abÅ- ") for _ in range(r.randint(0, n)))
+    queries = [(i, text(4)) for i in range(80)] + [(80, None)]
+    names = [(i, text(8)) for i in range(300)] + [(300, None)]
+    q, n = spark.createDataFrame(queries, "q long, query string"), spark.createDataFrame(names, "n long, name string")
+    want = {}
+    for i, j in sorted(rows(pages.words_within(q, n, "q", "n"), "q", "n")):
+        want.setdefault(i, []).append(j)
+    got = rows(pages.answered(q, pages.first_within(q, n, "n", 3)), "q", "rank", "n")
+    assert sorted(got) == sorted((i, k + 1, j) for i, js in want.items() for k, j in enumerate(js[:3]))
+    assert max(map(len, want.values())) > 10
+
+
+def test_search_of_equal_texts_and_equal_names(spark):
+    """30000 queries of one text and 30000 products of one name: the 900 million pairs are never made."""
+    begun = time.monotonic()
+    q = spark.range(30000).select(c("id").alias("query_id"), F.lit("hot bolt").alias("query"))
+    p = spark.range(30000).selectExpr("id", "'Hot Bolt' AS canonical_name", "'active' AS status", "concat('u', id) AS thomann_url", "1 AS thomann_price_dkk", "CAST(NULL AS STRING) AS image_url")
+    hits = pages.catalogue_hits(q, p).groupBy("query_id").agg(F.max("position").alias("n"), F.max("url").alias("last"))
+    assert rows(hits.groupBy("n", "last").count(), "n", "last", "count") == [(5, "u4", 30000)]
+    held = pages.stored_hits(q, p.selectExpr("id", "canonical_name AS title", "'reverb' AS source", "true AS is_active", "thomann_url AS url", "1.0 AS price", "image_url"))
+    assert held.count() == 20 * 30000
+    assert time.monotonic() - begun < 60
+
+
 def test_watchlist_cards(spark):
     w = spark.createDataFrame([(1, "MOOG one"), (2, "roland"), (3, "https://x/moog"), (4, "a"), (5, "korg"), (6, "nothing")], "id long, query string")
     p = spark.createDataFrame(
