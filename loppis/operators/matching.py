@@ -61,21 +61,28 @@ def resolve_canonical(canonicals: DataFrame, products: DataFrame) -> DataFrame:
     """(canonical, product_id): equal slug, else slug that starts with the canonical and a hyphen, else canonical
     that ends with a hyphen and a slug of four characters or more, else name that starts with it. Lowest id of a tier.
 
-    Each tier is an equi join on a prefix or suffix cut at hyphens or spaces, never a comparison of all pairs.
+    Each tier is an equi join on a prefix or suffix cut at hyphens or spaces, never a comparison of all pairs. Of products
+    that share a slug, a beginning of it or a name's beginning only the lowest id takes part.
     """
+
+    def lowest(rows: DataFrame, key: str) -> DataFrame:
+        # files of repeated names look small enough to broadcast when their rows are not, hence the merge join
+        return rows.groupBy(key).agg(F.min("product_id").alias("product_id")).hint("merge")
+
     c = canonicals.select("canonical").distinct().withColumn("slug", text.slugify_accents(F.col("canonical")))
-    p = products.select("product_id", "slug", F.lower("name").alias("name"))
+    p = products.groupBy("slug").agg(F.min("product_id").alias("product_id"))
+    n = products.groupBy(F.lower("name").alias("name")).agg(F.min("product_id").alias("product_id"))
     parts = F.split("slug", "-")
     upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "-"))
     heads = p.select("product_id", F.explode(F.when(F.size(parts) > 1, upto).otherwise(F.array().cast("array<string>"))).alias("slug"))
     tails_of = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-"))
     tails = c.select("canonical", F.explode(F.when(F.size(parts) > 1, tails_of).otherwise(F.array().cast("array<string>"))).alias("slug"))
-    named = p.select("product_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), F.lit(1), i)))).alias("low"))
+    named = n.select("product_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), F.lit(1), i)))).alias("low"))
     found = (
-        c.join(p.select("product_id", "slug"), "slug").select("canonical", "product_id", F.lit(1).alias("tier"))
-        .unionByName(c.join(heads, "slug").select("canonical", "product_id", F.lit(2).alias("tier")))
-        .unionByName(tails.join(p.filter(F.length("slug") >= 4).select("product_id", "slug"), "slug").select("canonical", "product_id", F.lit(3).alias("tier")))
-        .unionByName(c.withColumn("low", F.lower("canonical")).join(named, "low").select("canonical", "product_id", F.lit(4).alias("tier")))
+        c.join(lowest(p, "slug"), "slug").select("canonical", "product_id", F.lit(1).alias("tier"))
+        .unionByName(c.join(lowest(heads, "slug"), "slug").select("canonical", "product_id", F.lit(2).alias("tier")))
+        .unionByName(tails.join(lowest(p.filter(F.length("slug") >= 4), "slug"), "slug").select("canonical", "product_id", F.lit(3).alias("tier")))
+        .unionByName(c.withColumn("low", F.lower("canonical")).join(lowest(named, "low"), "low").select("canonical", "product_id", F.lit(4).alias("tier")))
     )
     return first_by(found, ["canonical"], [F.col("tier"), F.col("product_id")]).select("canonical", "product_id", "tier")
 
