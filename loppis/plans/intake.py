@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loppis.operators import graph, ingest
-from loppis.session import table
+from loppis.session import spread, table
 from loppis.streaming import ticks
 
 from .base import Book
@@ -41,7 +41,7 @@ rel AS (SELECT a.id AS from_product_id, b.id AS to_product_id, type, 50 AS weigh
 
 
 def imported(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     e = spark.sql(f"SELECT {_ENTRY} FROM {{t}}", t=part)
     product = F.struct("name", "type", F.lit(None).cast("string").alias("era"), F.lit(None).cast("string").alias("reference_url"), "model", "sku", "ean", "price_range_dkk", "related", "clones")
     nested = F.create_map("category", F.struct(F.create_map("brand", F.struct(F.create_map("slug", product).alias("products"))).alias("brands")))

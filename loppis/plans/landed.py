@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from loppis.operators import catalog, ranking, similar
-from loppis.session import shared_folder, table
+from loppis.session import shared_folder, spread, table
 from loppis.sinks.keyed import KeyedTable
 from loppis.sources import extract
 from loppis.streaming import ticks
@@ -31,7 +31,7 @@ def ld(*fields):
 
 
 def parts(spark, sf, payload, name="html"):
-    return table(spark, sf, "part").select("p_partkey", payload.alias(name))
+    return spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", payload.alias(name))
 
 
 # --- nested and flat documents --------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loppis.functions import dates, money, stats, text
 from loppis.operators import matching, ranking, similar, writes
-from loppis.plans import registry
+from loppis.plans import landed, registry
 from loppis.sources import extract
 from loppis.streaming import ticks
 
@@ -302,6 +302,14 @@ def test_contained_pairs_are_all_pairs(spark):
     assert whole == sorted({(x, y) for _, x in texts for _, y in names if x is not None and y and y in x})
 
 
+@needs_data
+def test_payloads_are_dealt_to_all_cores(spark):
+    """One small file of parts is read by one task; the payloads made of it are not worked on by one."""
+    rows = landed.parts(spark, SF, F.col("p_name"))
+    cores = spark.sparkContext.defaultParallelism
+    assert rows.select(F.spark_partition_id()).distinct().count() >= cores and rows.count() == 200
+
+
 def test_clean_candidates_of_equal_names(spark):
     """20000 rows of one name on either side: the 400 million pairs are never made; a row is no candidate of itself."""
     begun = time.monotonic()
