@@ -162,16 +162,17 @@ def _param_row(level: str, start: int, n: int, mu: np.ndarray, cov: np.ndarray)
     return {"level": level, "start": start, "n": n, "logdet": round(float(np.linalg.slogdet(cov)[1]), 6), "mu": np.round(mu, 9).tolist(), "inv": inv.ravel().tolist()}
 
 
-def _moments(x: Callable[[int], Column]) -> list[Column]:
-    """Sums of the parts of a vector (s0, ...) and of their products (s0_0, ...)."""
-    return [F.sum(x(i)).alias(f"s{i}") for i in range(DIMS)] + [F.sum(x(i) * x(j)).alias(f"s{i}_{j}") for i, j in PAIRS]
+def _moments(x: Callable[[int], Column]) -> Column:
+    """Array of the sums of a vector's parts and of their products. One column, as each column that goes to Python costs
+    an executor memory outside of its heap, which stays taken after the task."""
+    return F.array(*[F.sum(x(i)) for i in range(DIMS)], *[F.sum(x(i) * x(j)) for i, j in PAIRS])
 
 
-def _mean_cov(sums: dict, m: float, prefix: str = "s") -> tuple[np.ndarray, np.ndarray]:
-    mu = np.array([sums[f"{prefix}{i}"] for i in range(DIMS)], float) / m
+def _mean_cov(sums: np.ndarray, m: float) -> tuple[np.ndarray, np.ndarray]:
+    mu = sums[:DIMS] / m
     cov = np.zeros((DIMS, DIMS))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = sums[f"{prefix}{i}_{j}"] / m - mu[i] * mu[j]
+    for (i, j), total in zip(PAIRS, sums[DIMS:], strict=True):
+        cov[i, j] = cov[j, i] = total / m - mu[i] * mu[j]
     return mu, cov
 
 
@@ -195,9 +196,9 @@ def starts(rows: DataFrame, small: bool) -> DataFrame:
     z = _beside(rows, quart, small).withColumn("z", F.array(*[(F.col("x")[i] - F.col("middle")[i]) / F.col("spread")[i] for i in range(DIMS)]))
     z = z.withColumn("norm", F.greatest(F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(DIMS)), F.lit(0.0))), F.lit(1e-9)))
     sums = [
-        *_moments(lambda i: F.col("x")[i]),
-        *[c.alias(f"t{n}") for c, n in zip(_moments(lambda i: F.tanh(F.col("z")[i])), _names(), strict=True)],
-        *[c.alias(f"u{n}") for c, n in zip(_moments(lambda i: F.col("z")[i] / F.col("norm")), _names(), strict=True)],
+        _moments(lambda i: F.col("x")[i]).alias("s"),
+        _moments(lambda i: F.tanh(F.col("z")[i])).alias("t"),
+        _moments(lambda i: F.col("z")[i] / F.col("norm")).alias("u"),
     ]
     summed = z.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.first("middle").alias("middle"), F.first("spread").alias("spread"), *sums)
 
@@ -206,34 +207,31 @@ def starts(rows: DataFrame, small: bool) -> DataFrame:
             made = []
             for r in b.to_dict("records"):
                 n, middle, d = int(r["n"]), np.array(r["middle"], float), np.diag(np.array(r["spread"], float))
-                tanh = _mean_cov(r, n, "t")[1] + np.eye(DIMS) * 1e-6
+                s, t, u = (np.array(r[x], float) for x in "stu")
+                tanh = _mean_cov(t, n)[1] + np.eye(DIMS) * 1e-6
                 root = np.diag(1 / np.sqrt(np.diag(tanh)))
-                mean_u, cov_u = _mean_cov(r, n, "u")
+                mean_u, cov_u = _mean_cov(u, n)
                 sign = DIMS * (cov_u + np.outer(mean_u, mean_u)) + np.eye(DIMS) * 1e-6
-                for k, (mu, cov) in enumerate([(middle, d @ d), (middle, d @ root @ tanh @ root @ d), (middle, d @ sign @ d), _mean_cov(r, n)]):
+                for k, (mu, cov) in enumerate([(middle, d @ d), (middle, d @ root @ tanh @ root @ d), (middle, d @ sign @ d), _mean_cov(s, n)]):
                     made.append(_param_row(r["level"], k, n, mu, cov))
             yield pd.DataFrame(made, columns=["level", "start", "n", "logdet", "mu", "inv"])
 
     return summed.mapInPandas(begin, PARAMS)
 
 
-def _names() -> list[str]:
-    return [*map(str, range(DIMS)), *(f"{i}_{j}" for i, j in PAIRS)]
-
-
 def concentrate(rows: DataFrame, params: DataFrame, keep: float, small: bool) -> DataFrame:
     """One concentration step of every level and start over all rows: the estimates from the whole bins of distance
     that the closest `keep` of the level's rows reach into, scaled to be consistent for normal data."""
     share = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
     binned = _beside(rows, params.select("level", "start", "mu", "inv"), small).withColumn("bin", F.floor(F.log(_squared("x", "mu", "inv") + 1e-6) * BINS).cast("int"))
-    moments = binned.groupBy("level", "start", "bin").agg(F.count(F.lit(1)).alias("m"), *_moments(lambda i: F.col("x")[i]))
+    moments = binned.groupBy("level", "start", "bin").agg(F.count(F.lit(1)).alias("m"), _moments(lambda i: F.col("x")[i]).alias("s"))
 
     def refit(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("bin")
         n = int(t["m"].sum())
         reach = int(np.searchsorted(t["m"].cumsum().to_numpy(), keep * n)) + 1
-        near = t.iloc[:reach].sum(numeric_only=True).to_dict()
-        mu, cov = _mean_cov(near, near["m"])
+        near = t.iloc[:reach]
+        mu, cov = _mean_cov(np.stack(near["s"].to_list()).sum(0), float(near["m"].sum()))
         return pd.DataFrame([_param_row(t["level"].iloc[0], int(t["start"].iloc[0]), n, mu, cov * share)])
 
     return moments.groupBy("level", "start").applyInPandas(refit, PARAMS)

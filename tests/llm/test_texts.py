@@ -550,6 +550,22 @@ def test_mcd_equals_search_over_many_starts(spark, tmp_path):
         assert (own == want).mean() >= 0.985
 
 
+def test_moments_go_to_python_as_one_column(spark):
+    """Each column of a task's input keeps memory of the executor, so no step sends the moments one by one."""
+    rows = cut(spark.createDataFrame([("a", [random.Random(f"{i} {k}").gauss(0, 1) for k in range(quality.DIMS)]) for i in range(40)], "level string, x array<double>"))
+    first = quality.starts(rows, True)
+    for step in (first, quality.concentrate(rows, cut(first), 0.75, True)):
+        todo, seen = [step._jdf.queryExecution().optimizedPlan()], 0
+        while todo:
+            node = todo.pop()
+            below = [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() in ("MapInPandas", "FlatMapGroupsInPandas"):
+                seen += 1
+                assert below[0].output().size() <= 8
+            todo += below
+        assert seen == 1
+
+
 def test_quality_keeps_columns_of_any_name(spark):
     """Columns named like the operator's own come back as they were."""
     r = random.Random(9)
